@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,10 @@ def partitions(spark: SparkSession) -> int:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete the shuffle files of plans that were cut."""
-    import gc
-
     gc.collect()
+    time.sleep(0.5)  # for the released objects to be let go in the JVM
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

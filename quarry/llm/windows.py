@@ -154,7 +154,7 @@ def removals(
             nonlocal size
             keys, blobs = list(held), [p.packed() for p in held.values()]
             if spans:  # decided here; they only pass through the shuffle, by their documents
-                found = np.array(spans, np.int64)
+                found = merged(np.array(spans, np.int64))
                 to = found[:, 1] % buckets
                 for k in np.unique(to):
                     keys.append(int(k))
@@ -214,16 +214,30 @@ def removals(
                 p, first, n = decide(block)
                 start = block[5][p] + first
                 out.append(np.column_stack([block[3][p], block[4][p], start, start + n - 1 + length]))
-            if out:
-                rows = np.concatenate(out)
+            if sum(map(len, out)):
+                rows = merged(np.concatenate(out))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["id", "th", "lo", "hi"])
 
     dealt = docs.mapInArrow(deal, "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     found = cut(dealt.mapInArrow(settle, "id long, th long, lo long, hi long"))
+    del dealt
     free_shuffles(spark)
     return found
 
 
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Rows (id, th, lo, hi) with the spans of a document that overlap or touch made one."""
+    spans = spans[np.lexsort([spans[:, 2], spans[:, 1], spans[:, 0]])]
+    same = np.append(False, (spans[1:, :2] == spans[:-1, :2]).all(1))
+    shift = np.cumsum(~same) << 40  # documents apart from each other on one line
+    lo, hi = spans[:, 2] + shift, np.maximum.accumulate(spans[:, 3] + shift)
+    first = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
+    out = spans[first]
+    last = np.append(first[1:], len(spans)) - 1
+    out[:, 3] = hi[last] - shift[last]
+    return out
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     now, blobs = None, []
     for b in batches:
