@@ -2,7 +2,7 @@
 
 Window = k-mer of words; minimiser = least hash of the 3-word grams in it. Consecutive windows
 that share a minimiser travel as one packed string to its bucket (quarry.llm.windows); there
-windows are sorted by a hash of their words and equal neighbours compared word by word.
+windows are sorted by a hash of their words and neighbours with one hash compared in full.
 """
 
 from __future__ import annotations
@@ -11,83 +11,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import windows as W
-from quarry.llm.common import NO_ID, keyed, shown_id
+from quarry.llm.common import keyed, shown_id
 
 GRAM = 3
-M64 = (1 << 64) - 1
 
 
-class _Hashes(dict):
-    """Hash of each word; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-_hashes = _Hashes()
+def _words(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and hash of each word of a text whose words are parted by single spaces."""
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    begin, end = np.append(0, gaps + 1), np.append(gaps, len(line))
+    return begin, end, W.Fingerprints(line).of(begin, end)
 
 
 def _batch(ids: list[int], ths: list[int], texts: list[bytes]) -> W.Batch:
-    words = [t.split() for t in texts]  # bytes.split() parts at [\x20\x09-\x0D]+
-    bounds = np.append(0, np.cumsum([len(w) for w in words], dtype=np.int64))
-    units = [x for w in words for x in w]
-    h = np.fromiter(map(_hashes.__getitem__, units), np.uint64, len(units))
-    n = max(0, len(h) - GRAM + 1)
+    lines = [b" ".join(t.split()) for t in texts]  # bytes.split() parts at [\x20\x09-\x0D]+
+    bounds = np.append(0, np.cumsum([x.count(b" ") + 1 if x else 0 for x in lines], dtype=np.int64))
+    line = b" ".join(filter(None, lines))
+    begin, end, h = _words(line)
+    n = max(0, int(bounds[-1]) - GRAM + 1)
     gram = h[:n] * W.K1 + h[1 : n + 1] * W.K2 + h[2 : n + 2] * W.K3 if n else h[:0]
-    return W.Batch(np.array(ids, np.int64), np.array(ths, np.int64), bounds, units, W.mixed(gram))
+    return W.Batch(np.array(ids, np.int64), np.array(ths, np.int64), bounds, (line, begin.tolist(), end.tolist()), W.mixed(gram))
 
 
-def _piece(units: list[bytes], lo: int, hi: int) -> bytes:
-    return b" ".join(units[lo:hi])
+def _piece(units: tuple[bytes, list[int], list[int]], lo: int, hi: int) -> bytes:
+    line, begin, end = units
+    return line[begin[lo] : end[hi - 1]]
 
 
 def _decide(length: int):
-    rng = np.random.default_rng(7)
-    factors = rng.integers(1, 1 << 63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = np.random.default_rng(7).integers(1, 1 << 63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def decide(block: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text, offsets, _, ids, _, _, n_windows, _ = block
-        numbers = _Numbers()
-        words = [text[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        word = np.fromiter((numbers[x] for w in words for x in w), np.int64, sum(map(len, words)))
-        first = np.append(0, np.cumsum([len(w) for w in words], dtype=np.int64))[:-1]
-        piece, number, at = W.window_starts(first, n_windows)
-        code = W.mixed((word.astype(np.uint64) + np.uint64(1)) * W.K2)
-        h = np.zeros(len(at), np.uint64)
+        text, _, _, ids, _, _, n_windows, _ = block
+        begin, end, code = _words(text)
+        n_words = n_windows.astype(np.int64) + length - 1
+        piece, number, at = W.window_starts(np.cumsum(n_words) - n_words, n_windows)
+        n = len(code) - length + 1
+        h = np.zeros(n, np.uint64)
         for j in range(length):
-            h += code[at + j] * factors[j]
+            h += code[j : n + j] * factors[j]
+        h = h[at]
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         own = ids[piece]
         bad = np.zeros(len(at), bool)
         if same.any():
-            inside = np.append(same, False) | np.append(False, same)
-            some = order[inside]  # only windows whose hash another has
-            equal = np.append(False, h[some][1:] == h[some][:-1])
-            exact = np.ones(len(some), bool)
-            for j in range(length):
-                exact[1:] &= word[at[some[1:]] + j] == word[at[some[:-1]] + j]
-            if (equal & ~exact).any():  # two windows with one hash: told apart by their words
-                rows = word[at[some][:, None] + np.arange(length)]
-                _, group = np.unique(rows, axis=0, return_inverse=True)
-                some = some[np.argsort(group, kind="stable")]
-                group = np.sort(group)
+            some = order[np.append(same, False) | np.append(False, same)]  # only windows whose hash another has
+            lo, hi = begin[at[some]].tolist(), end[at[some] + length - 1].tolist()
+            fresh = np.append(True, h[some][1:] != h[some][:-1])
+            exact = np.fromiter((text[a:b] == text[c:d] for a, b, c, d in zip(lo[1:], hi[1:], lo, hi)), bool, len(some) - 1)
+            if (~fresh[1:] & ~exact).any():  # different windows with one hash: told apart by their text
+                numbers: dict[bytes, int] = {}
+                group = np.fromiter((numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(lo, hi)), np.int64, len(some))
+                by = np.argsort(group, kind="stable")
+                some, group = some[by], group[by]
             else:
-                group = np.cumsum(~equal) - 1
+                group = np.cumsum(fresh)
             start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             least = np.minimum.reduceat(own[some], start)
             bad[some] = own[some] > np.repeat(least, np.diff(np.append(start, len(some))))
@@ -105,7 +88,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     don't remove each other's windows; repeated rows each give a row. Other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col)
-    found = W.removals(rows, length, GRAM, _batch, _piece, _decide(length), least_id=True)
+    found = W.removals(rows, length, GRAM, _batch, _piece, _decide(length), least_id=True, between=b" ")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

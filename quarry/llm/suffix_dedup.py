@@ -50,29 +50,6 @@ def _piece(buf: bytes, lo: int, hi: int) -> bytes:
     return buf[lo:hi]
 
 
-class Fingerprints:
-    """Polynomial fingerprints modulo 2^64 of any substrings of a buffer."""
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-    INVERSE = pow(BASE, -1, 1 << 64)
-
-    def __init__(self, buf: bytes):
-        n = len(buf)
-        table = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[np.frombuffer(buf, np.uint8)] * self.powers(self.BASE, n), out=self.sums[1:])
-        self.back = self.powers(self.INVERSE, n)
-
-    @staticmethod
-    def powers(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[:1] = 1
-        return np.cumprod(out) if n else out
-
-    def of(self, at: np.ndarray, length: int) -> np.ndarray:
-        return W.mixed((self.sums[at + length] - self.sums[at]) * self.back[at])
-
-
 def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether `length` bytes (8 at least) from a and from b on are equal."""
     same = np.ones(len(a), bool)
@@ -84,14 +61,14 @@ def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.n
 class CoverRanks:
     """Ranks of the sampled suffixes near given positions by their first `span` bytes."""
 
-    def __init__(self, words: np.ndarray, prints: Fingerprints, at: np.ndarray, span: int, size: int):
+    def __init__(self, words: np.ndarray, prints: W.Fingerprints, at: np.ndarray, span: int, size: int):
         near = np.zeros(size + MODULUS + 1, np.int32)
         np.add.at(near, at, 1)
         np.add.at(near, at + MODULUS, -1)
         near = np.cumsum(near)[:size] > 0
         sample = np.flatnonzero(near & _member[np.arange(size) % MODULUS])
         sample = sample[sample + span <= size]
-        h = prints.of(sample, span)
+        h = prints.of(sample, sample + span)
         order = np.argsort(h)
         sample, h = sample[order], h[order]
         new = np.append(True, h[1:] != h[:-1])[: len(sample)]
@@ -102,8 +79,8 @@ class CoverRanks:
 
 def repeated(buf: bytes, at: np.ndarray, length: int) -> np.ndarray:
     """Which of the suffixes at these positions share their first `length` bytes with another."""
-    prints = Fingerprints(buf)
-    h = prints.of(at, length)
+    prints = W.Fingerprints(buf)
+    h = prints.of(at, at + length)
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     out = np.zeros(len(at), bool)

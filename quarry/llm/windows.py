@@ -45,6 +45,34 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+class Fingerprints:
+    """Polynomial fingerprints modulo 2^64 of any substrings of a buffer."""
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+    TABLE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+    _powers: dict[int, np.ndarray] = {}
+
+    def __init__(self, buf: bytes):
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(self.TABLE[np.frombuffer(buf, np.uint8)] * self.powers(self.BASE, len(buf)), out=self.sums[1:])
+        self.back = self.powers(pow(self.BASE, -1, 1 << 64), len(buf) + 1)
+
+    @classmethod
+    def powers(cls, base: int, n: int) -> np.ndarray:
+        """The first n powers; those of usual blocks are kept."""
+        known = cls._powers.get(base)
+        if known is None or len(known) < n:
+            known = np.full(max(n, 2 * STEP), base, np.uint64)
+            known[0] = 1
+            known = np.cumprod(known)
+            if len(known) <= 4 * STEP:
+                cls._powers[base] = known
+        return known[:n]
+
+    def of(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[to] - self.sums[at]) * self.back[at])
+
+
 @dataclass
 class Batch:
     """Some documents as one array of units (bytes or words), end to end."""
@@ -127,12 +155,14 @@ def removals(
     piece: Callable[[object, int, int], bytes],
     decide: Callable[[tuple], tuple[np.ndarray, np.ndarray, np.ndarray]],
     least_id: bool,
+    between: bytes = b"",
 ) -> DataFrame:
     """Spans to remove from docs, as (id, th, lo, hi), in units; they may overlap.
 
     docs: from keyed(). batch() makes units and gram hashes of some documents, piece() cuts the
     text of units [lo, hi), decide() finds in a block of pieces (every window of a minimiser
     together) the windows to remove and returns piece index, first window and windows of runs.
+    between stands between the pieces of a block.
     least_id: a window is removed only if a smaller id has it; else if it is anywhere else.
     Of copies of a piece in a task only one (least_id: one of the least id) is sent, marked.
     """
@@ -210,7 +240,7 @@ def removals(
                 x = unpacked(blob)
                 (done if x[0] is None else parts).append(x)
             out = [x[1] for x in done]
-            for block in blocks(parts):
+            for block in blocks(parts, between):
                 p, first, n = decide(block)
                 start = block[5][p] + first
                 out.append(np.column_stack([block[3][p], block[4][p], start, start + n - 1 + length]))
@@ -251,7 +281,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield blobs
 
 
-def blocks(parts: list[tuple]) -> Iterator[tuple]:
+def blocks(parts: list[tuple], between: bytes) -> Iterator[tuple]:
     """(bytes, piece offsets, keys, ids, ths, starts, windows, twice) of about STEP bytes, all pieces of a key together."""
     if not parts:
         return
@@ -270,9 +300,9 @@ def blocks(parts: list[tuple]) -> Iterator[tuple]:
         while b < len(order) and not fresh[b]:
             b += 1
         own = order[a:b]
-        text = b"".join([parts[w][0][offsets[w][i] : offsets[w][i + 1]] for w, i in zip(which[own].tolist(), where[own].tolist())])
+        text = between.join([parts[w][0][offsets[w][i] : offsets[w][i + 1]] for w, i in zip(which[own].tolist(), where[own].tolist())])
         lengths, *rest = (c[own] for c in columns)
-        yield text, np.append(0, np.cumsum(lengths, dtype=np.int64)), *rest
+        yield text, np.append(0, np.cumsum(lengths + len(between), dtype=np.int64)), *rest
         a = b
 
 
