@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import HEAVY_SCHEMA, cut, free_shuffles, heavy_keys, local_heavy, partitions
 
 #: Text that is worked on at once in a task, and packed text held before it is sent on, in bytes.
-STEP, HELD = 3 << 20, 24 << 20
+STEP, HELD = 3 << 19, 12 << 20
 
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
