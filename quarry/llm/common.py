@@ -34,10 +34,11 @@ def partitions(spark: SparkSession) -> int:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete the shuffle files of plans that were cut."""
-    gc.collect()
-    time.sleep(0.5)  # for the released objects to be let go in the JVM
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    for _ in range(2):  # what the first round releases the second one finds
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

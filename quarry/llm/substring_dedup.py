@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import windows as W
-from quarry.llm.common import keyed, shown_id
+from quarry.llm.common import free_shuffles, keyed, shown_id
 
 GRAM = 3
 
@@ -89,6 +89,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     rows = keyed(docs, id_col, text_col)
     found = W.removals(rows, length, GRAM, _batch, _piece, _decide(length), least_id=True, between=b" ")
+    free_shuffles(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import windows as W
-from quarry.llm.common import keyed, shown_id
+from quarry.llm.common import free_shuffles, keyed, shown_id
 
 GRAM = 16
 #: Powers of 2 modulo 73: each difference modulo 73 occurs between two of them.
@@ -127,6 +127,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = keyed(docs, id_col, text_col)
     found = W.removals(rows, length, min(GRAM, length), _batch, _piece, _decide(length), least_id=False)
+    free_shuffles(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

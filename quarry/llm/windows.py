@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY_SCHEMA, cut, free_shuffles, heavy_keys, local_heavy, partitions
+from quarry.llm.common import HEAVY_SCHEMA, cut, heavy_keys, local_heavy, partitions
 
 #: Text that is worked on at once in a task, and packed text held before it is sent on, in bytes.
 STEP, HELD = 3 << 19, 12 << 20
@@ -250,8 +250,6 @@ def removals(
 
     dealt = docs.mapInArrow(deal, "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     found = cut(dealt.mapInArrow(settle, "id long, th long, lo long, hi long"))
-    del dealt
-    free_shuffles(spark)
     return found
 
 
