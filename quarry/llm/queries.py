@@ -66,5 +66,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM w)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT win.doc_id, i, unnest(range(0, 13)) AS j FROM win JOIN least USING (k) WHERE win.doc_id > m)),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) AS text FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos WHERE g.pos IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id"""
+
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS far FROM v UNION SELECT node, b FROM reach JOIN links ON far = a),
+low AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN low ON vec_id = node LEFT JOIN n ON vec_id = a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have none: their hashes, tokens, models or byte windows are not in SQL's reach, or too slow in it."""
+    return {"op1_substring_dedup": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL}
