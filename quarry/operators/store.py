@@ -20,7 +20,7 @@ class Snapshots:
 
     def manifest(self) -> Row | None:
         try:
-            rows = self.spark.read.json(f"{self.path}/manifest").where(F.col("schema") == VERSION)
+            rows = self.spark.read.option("recursiveFileLookup", True).json(f"{self.path}/manifest").where(F.col("schema") == VERSION)
             return rows.orderBy(F.desc("version")).first()
         except AnalysisException:
             return None
@@ -37,7 +37,7 @@ class Snapshots:
             key = "path" if name == "files" else "file_path"
             df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{self.path}/{name}/{version}")
         row = self.spark.createDataFrame([(VERSION, version)], "schema int, version long").withColumns({k: F.lit(v) for k, v in meta.items()})
-        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v{version}")
+        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{version}")
         return version
 
     def replace(self, files: DataFrame, symbols: DataFrame, calls: DataFrame, **meta: str) -> int:
