@@ -7,6 +7,18 @@ import os
 from pyspark.sql import SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch of rows sent to Python, where the session has no bound of its own.
+
+    Rows may hold long texts, and a task keeps a batch several times over: in the JVM's heap,
+    in its Arrow buffers and in the worker.
+    """
+    spark.conf.set(BATCH_BYTES, spark.conf.get(BATCH_BYTES, str(8 << 20)))
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session with UTC time, AQE and Arrow switched on."""
     spark = (
@@ -21,4 +33,5 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    small_batches(spark)
     return spark
