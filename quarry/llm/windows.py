@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import HEAVY_SCHEMA, cut, heavy_keys, local_heavy, partitions
 
 #: Text that is worked on at once in a task, and packed text held before it is sent on, in bytes.
-STEP, HELD = 3 << 19, 12 << 20
+STEP, HELD = 3 << 19, 28 << 20
+#: Bytes that a held span and a held piece take besides its text, about.
+SPAN, PIECE = 200, 400
 
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -202,17 +204,19 @@ def removals(
                 if not least_id:
                     p.twice[k] = True
                     spans.append((i, th, start, start + n - 1 + length))
+                    size += SPAN
                     return
                 if i != p.ids[k]:
                     if i < p.ids[k]:
                         p.ids[k], i, p.ths[k], th, p.starts[k], start = i, p.ids[k], th, p.ths[k], start, p.starts[k]
                     spans.append((i, th, start, start + n - 1 + length))
+                    size += SPAN
                     return
             p = held.setdefault(bucket, Pieces())
             seen[text] = p, len(p.texts)
             for values, value in zip((p.texts, p.keys, p.ids, p.ths, p.starts, p.windows, p.twice), (text, key, i, th, start, n, False)):
                 values.append(value)
-            size += len(text) + 100
+            size += len(text) + PIECE
 
         for some in documents(batches, STEP):
             b = batch(*some)
