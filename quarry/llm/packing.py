@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NO_ID, cut, shown_id
+from quarry.llm.common import NO_ID, cut, shown_id, tidy
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -154,9 +154,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "piece", "start", "length", "ids_crc32"])
+        _encoders.clear()
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")))
-    return source.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(tidy(run), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY_SCHEMA, cut, components, follow, forest, heavy_keys, keyed, local_heavy, partitions, shown_id
+from quarry.llm.common import HEAVY_SCHEMA, cut, components, follow, forest, heavy_keys, keyed, local_heavy, partitions, shown_id, tidy
 from quarry.llm.windows import K2, mixed
 
 SEED = 42
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["id", "th", "fp"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "id long, th long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(tidy(run), "id long, th long, fp long")
 
 
 def variants(fp: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ def components_of(fps: DataFrame, bits: int = 3) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield local_heavy([variants(b.column(0).to_numpy().view(np.uint64)).ravel().view(np.int64) for b in batches], share)
 
-    hot = heavy_keys(cut(reps.select("fp").mapInArrow(counted, HEAVY_SCHEMA)), share).view(np.uint64)
+    hot = heavy_keys(cut(reps.select("fp").mapInArrow(tidy(counted), HEAVY_SCHEMA)), share).view(np.uint64)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,8 +148,8 @@ def components_of(fps: DataFrame, bits: int = 3) -> DataFrame:
         tree = forest(np.concatenate(kept)) if kept else np.empty((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(tree[:, 0]), pa.array(tree[:, 1])], names=["a", "b"])
 
-    keys = reps.select("fp").mapInArrow(indexed, "key long, fp long").repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
-    roots = components(keys.mapInArrow(verified, "a long, b long"))
+    keys = reps.select("fp").mapInArrow(tidy(indexed), "key long, fp long").repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
+    roots = components(keys.mapInArrow(tidy(verified), "a long, b long"))
     own = reps.join(roots, reps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = own.groupBy("root").agg(F.min("low").alias("up")).select(F.col("root").alias("node"), "up")
     return follow(cut(own.select("root", "fp")), "root", cut(least)).select("fp", F.col("root").alias("component"))

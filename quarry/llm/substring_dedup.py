@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import windows as W
-from quarry.llm.common import free_shuffles, keyed, shown_id
+from quarry.llm.common import free_shuffles, keyed, shown_id, tidy
 
 GRAM = 3
 
@@ -103,5 +103,5 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "n_words", "n_removed", "kept"])
 
     both = rows.join(W.spans_of(found), ["id", "th"], "left").select("id", "body", "lows", "highs")
-    done = both.mapInArrow(keep, "id long, n_words long, n_removed long, kept binary")
+    done = both.mapInArrow(tidy(keep), "id long, n_words long, n_removed long, kept binary")
     return done.select(shown_id().alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))

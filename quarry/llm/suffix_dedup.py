@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import windows as W
-from quarry.llm.common import free_shuffles, keyed, shown_id
+from quarry.llm.common import free_shuffles, keyed, shown_id, tidy
 
 GRAM = 16
 #: Powers of 2 modulo 73: each difference modulo 73 occurs between two of them.
@@ -155,5 +155,5 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     both = full.join(W.spans_of(found), ["id", "th"], "left").select("id", "body", "lows", "highs", *carried)
     kinds = {f.name: f.dataType.simpleString() for f in full.schema}
     schema = ", ".join(["id long", *[f"{c} {kinds[c]}" for c in carried], "n_bytes long, n_removed long, n_spans long, kept binary"])
-    done = both.mapInArrow(keep, schema)
+    done = both.mapInArrow(tidy(keep), schema)
     return done.select(shown_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *[F.col(k).alias(c) for c, k in zip(carry, carried)])

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY_SCHEMA, cut, heavy_keys, local_heavy, partitions
+from quarry.llm.common import HEAVY_SCHEMA, cut, heavy_keys, local_heavy, partitions, tidy
 
 #: Text that is worked on at once in a task, and packed text held before it is sent on, in bytes.
 STEP, HELD = 3 << 19, 28 << 20
@@ -71,6 +71,10 @@ class Fingerprints:
                 cls._powers[base] = known
         return known[:n]
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._powers.clear()
+
     def of(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         return mixed((self.sums[to] - self.sums[at]) * self.back[at])
 
@@ -174,8 +178,9 @@ def removals(
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield local_heavy([runs(batch(*some), length, gram)[3] for some in documents(batches, STEP)], share)
+        Fingerprints.forget()
 
-    hot = heavy_keys(cut(docs.mapInArrow(minimisers, HEAVY_SCHEMA)), share)
+    hot = heavy_keys(cut(docs.mapInArrow(tidy(minimisers), HEAVY_SCHEMA)), share)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Pieces] = {}
@@ -236,6 +241,7 @@ def removals(
             if size >= HELD:
                 yield from flush()
         yield from flush()
+        Fingerprints.forget()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in by_bucket(batches):
@@ -251,9 +257,10 @@ def removals(
             if sum(map(len, out)):
                 rows = merged(np.concatenate(out))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["id", "th", "lo", "hi"])
+        Fingerprints.forget()
 
-    dealt = docs.mapInArrow(deal, "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    found = cut(dealt.mapInArrow(settle, "id long, th long, lo long, hi long"))
+    dealt = docs.mapInArrow(tidy(deal), "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    found = cut(dealt.mapInArrow(tidy(settle), "id long, th long, lo long, hi long"))
     return found
 
 
