@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY_SCHEMA, cut, components, follow, forest, heavy_keys, keyed, local_heavy, partitions, shown_id, tidy
+from quarry.llm.common import HEAVY_SCHEMA, NO_ID, cut, components, follow, forest, heavy_keys, keyed, local_heavy, partitions, shown_id, tidy
 from quarry.llm.windows import K2, mixed
 
 SEED = 42
@@ -115,8 +115,8 @@ def linked(keys: np.ndarray, fp: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, 2), np.uint64)
 
 
-def components_of(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """(fp, component): the least id in the group of each fingerprint. fps: (id, fp), cut."""
+def rooted(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """(fp, low, root): the least id with each fingerprint, and the fingerprint naming its group. fps: (id, fp), cut."""
     if not 0 <= bits <= 3:
         raise ValueError("two segments with one wildcard find differences of up to three bits")
     reps = cut(fps.groupBy("fp").agg(F.min("id").alias("low")))
@@ -150,7 +150,12 @@ def components_of(fps: DataFrame, bits: int = 3) -> DataFrame:
 
     keys = reps.select("fp").mapInArrow(tidy(indexed), "key long, fp long").repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
     roots = components(keys.mapInArrow(tidy(verified), "a long, b long"))
-    own = reps.join(roots, reps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return reps.join(roots, reps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def components_of(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """(fp, component): the least id in the group of each fingerprint. fps: (id, fp), cut."""
+    own = rooted(fps, bits)
     least = own.groupBy("root").agg(F.min("low").alias("up")).select(F.col("root").alias("node"), "up")
     return follow(cut(own.select("root", "fp")), "root", cut(least)).select("fp", F.col("root").alias("component"))
 
@@ -186,16 +191,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
-    """The documents with one of each group of near copies: the one whose id names the group.
+    """The documents with one of each group of near copies: the first by id and text hash.
 
-    Of rows that share that id the one with the least text hash stays, of equal rows any one.
-    All columns of docs are kept.
+    Groups are told apart by their fingerprints, so ids may be null (they sort last) or repeat.
+    Of equal rows any one stays. All columns of docs are kept.
     """
-    groups = near_duplicates(docs, id_col, text_col, bits)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("component_id").alias("__c"), F.col("th").alias("__th"))
-    kept = kept.groupBy("__id").agg(F.min("__th").alias("__th"))
+    fps = cut(fingerprints(docs, id_col, text_col))
+    groups = cut(rooted(fps.select("id", "fp"), bits).select(F.col("fp").alias("node"), F.col("root").alias("up")))
+    first = follow(fps, "fp", groups).groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first"))
+    kept = first.select(F.col("first.id").alias("__id"), F.col("first.th").alias("__th"))
     names = docs.columns
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     both = rows.join(kept, ["__id", "__th"])
-    first = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
-    return both.withColumn("__n", first).where("__n = 1").select(*names)
+    one = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
+    return both.withColumn("__n", one).where("__n = 1").select(*names)

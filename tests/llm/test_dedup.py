@@ -140,6 +140,15 @@ def test_simhash_on_odd_rows(odd_docs):
     assert kept.columns == odd_docs.columns and kept.count() == len({c for *_, c in fp_groups(told(odd_docs))})
 
 
+def test_one_of_each_group_whatever_its_ids(spark):
+    rng = random.Random(9)
+    prose = [" ".join(f"t{n}w{rng.randrange(10**6)}" for _ in range(80)) for n in range(7)]
+    # three groups of null ids only, one with an id too, two groups that share id 1, one that has id 1 and 0
+    rows = [(None, prose[0]), (None, prose[0]), (None, prose[1]), (None, prose[2]), (None, prose[3]), (5, prose[3]), (1, prose[4]), (1, prose[5]), (2, prose[5]), (1, prose[6]), (0, prose[6])]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((str(r.doc_id), prose.index(r.text)) for r in got) == [("0", 6), ("1", 4), ("1", 5), ("5", 3), ("None", 0), ("None", 1), ("None", 2)]
+
+
 def test_links_of_crowded_keys():
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 1 << 62))
