@@ -448,6 +448,13 @@ def x14(spark, d):
     return lines.read_symbols(known, whole)
 
 
+@query("X14_read_symbol_all", f"WITH {C.SOURCE_SYMBOLS} SELECT s.file_path||'#'||kind||'#'||name||'#'||start_line AS symbol_id, string_agg(text, chr(10) ORDER BY line) AS content FROM symbols s JOIN src_lines l ON s.file_path = l.file_path AND line BETWEEN start_line AND end_line GROUP BY 1, s.file_path, start_line, kind, name")
+def x14_all(spark, d):
+    every, symbols, _ = _src(spark, d)
+    whole = every.groupBy("file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    return lines.read_symbols(symbols.withColumns({"start_byte": F.lit(None).cast("long"), "end_byte": F.lit(None).cast("long")}), whole)
+
+
 @query("X22_grep", f"WITH {C.TEXTS}, {LINES} SELECT file_path||':'||line||':'||text AS hit FROM ln WHERE contains(text, 'the') AND contains(text, 'idiot')")
 def x22(spark, d):
     return lines.grep(lines.lines(C.files(spark, d)), ["the", "idiot"])
