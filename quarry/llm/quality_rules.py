@@ -4,12 +4,17 @@ Each rule rejects texts whose ratio is over a cutoff. Labelled documents are a h
 stratum and rule the cutoffs are tried from the most lenient on, and one is certified if the
 exact binomial probability of so few rejections among the good documents, were the true rate of
 false rejection `risk`, is at most delta. Cutoffs of a rule are tested in this fixed sequence up
-to the first that fails, and delta is shared out over strata and rules (Bonferroni), so with
-probability 1 - alpha no certified cutoff rejects more than `risk` of a stratum's good documents.
+to the first that fails. All strata together are tested like one more stratum, the pool, and delta
+is shared out over these and the rules (Bonferroni), so with probability 1 - alpha no certified
+cutoff rejects more than `risk` of the good documents of its stratum or of the pool. A stratum too
+small to certify any cutoff of a rule backs off to the pool's cutoffs.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import takewhile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,7 @@ RULES = (
 )
 #: Strata: these languages, and all others together.
 STRATA = ("de", "en", "es", "fr")
+POOL = "pool"
 MIN_WORDS, MAX_REPEATS = 50, 0.5
 
 
@@ -81,21 +87,33 @@ def certified(labelled: DataFrame, risk: float, alpha: float) -> dict[tuple[str,
 
     labelled: measured documents with stratum and good (boolean). Of the certified cutoffs the
     one is taken whose share of rejected bad documents most exceeds ten times that of good ones.
+    Where a stratum certifies none it is taken from the pool's, by the pool's shares, among those
+    that reject at most `risk` of the stratum's own good documents; there must be some of these.
     """
     over = [(name, k, c, F.expr(ratio) > c) for name, ratio, cutoffs in RULES for k, c in enumerate(cutoffs)]
     counts = [F.sum((hit & (F.col("good") == want)).cast("long")).alias(f"{name}_{k}_{want}") for name, k, _, hit in over for want in (True, False)]
     table = labelled.groupBy("stratum").agg(F.sum(F.col("good").cast("long")).alias("n"), F.sum((~F.col("good")).cast("long")).alias("m"), *counts)
+    whole = table.groupBy(F.lit(POOL).alias("stratum")).agg(*[F.sum(c).alias(c) for c in table.columns[1:]])
     tests = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(k).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{name}_{k}_True").alias("k"), F.col(f"{name}_{k}_False").alias("b")) for name, k, c, _ in over])
-    tests = table.select("stratum", "n", "m", F.inline(tests))
-    delta = alpha / (len(RULES) * (len(STRATA) + 1))
+    tests = cut(table.unionByName(whole)).select("stratum", "n", "m", F.inline(tests))
+    delta = alpha / (len(RULES) * (len(STRATA) + 2))
     gain = F.col("b") / F.greatest("m", F.lit(1)) - 10 * F.col("k") / F.greatest("n", F.lit(1))
-    failed = F.when(binomial_tail(F.col("n"), F.col("k"), risk) > delta, F.col("step"))
-    steps = tests.withColumns({"failed": failed, "gain": gain}).groupBy("stratum", "rule").agg(
-        F.min("failed").alias("first"), F.collect_list(F.struct("gain", F.negative("step").alias("minus"), "cutoff")).alias("steps")
-    )
-    passed = F.filter("steps", lambda s: (F.col("first").isNull() | (-s["minus"] < F.col("first"))) & (s["gain"] > 0))
-    rows = steps.select("stratum", "rule", F.array_max(passed)["cutoff"].alias("cutoff")).where("cutoff is not null").collect()  # at most one for each stratum and rule
-    return {(r.stratum, r.rule): r.cutoff for r in rows}
+    holds = binomial_tail(F.col("n"), F.col("k"), risk) <= delta
+    steps = defaultdict(list)
+    for r in tests.withColumns({"holds": holds, "gain": gain}).orderBy("stratum", "rule", "step").collect():  # one for each stratum and cutoff
+        steps[r.stratum, r.rule].append(r)
+    out = {}
+    for (where, rule), own in steps.items():
+        if where == POOL:
+            continue
+        passed = list(takewhile(lambda r: r.holds, own))
+        if not passed and own[0].n:
+            shared = takewhile(lambda r: r.holds, steps[POOL, rule])
+            passed = [p for p, r in zip(shared, own) if r.k <= risk * r.n]
+        useful = [r for r in passed if r.gain > 0]
+        if useful:
+            out[where, rule] = max(useful, key=lambda r: (r.gain, -r.step)).cutoff
+    return out
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", risk: float = 0.004, alpha: float = 0.05) -> DataFrame:
@@ -105,7 +123,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     then, or if a certified cutoff of the document's stratum is exceeded. labels (doc_id,
     quality): rows with quality 1 are the good holdout, those with 0 the bad one; null ids and
     labels are left out, and of repeated ids each row counts. A null text has no words; a null language is in the stratum
-    "other". With too few labels no cutoff is certified, and only the base rule rejects. Repeated
+    "other". A stratum without good labels, or with too few in all strata together, has no cutoff, and only
+    the base rule rejects. Repeated
     rows each give a row. th tells rows apart by text and language. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"), F.xxhash64(text_col, lang_col).alias("th"))

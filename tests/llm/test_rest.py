@@ -141,6 +141,20 @@ def test_certified_cutoffs_keep_the_good(spark):
     assert all(r.kept == (r.doc_id % 10 != 0) for r in got)
 
 
+def test_small_strata_use_the_pool(spark):
+    # stratum, documents, of which with many symbols, good
+    parts = [("en", 1900, 0, True), ("en", 100, 100, False), ("de", 300, 0, True), ("de", 30, 30, False), ("fr", 60, 2, True), ("fr", 30, 30, False), ("other", 20, 20, False)]
+    rows = [(s, good, 30 if k < many else 0) for s, n, many, good in parts for k in range(n)]
+    df = spark.createDataFrame(rows, "stratum string, good boolean, n_symbols long").selectExpr("*", *[f"{v}L AS {c}" for c, v in {"n_words": 60, "word_chars": 300, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1, "n_capitals": 0}.items()])
+    # 2 of the pool's 2,260 good ones are over every cutoff: too many
+    assert set(quality_rules.certified(df, 0.004, 0.05)) == {("en", "symbols")}
+    got = quality_rules.certified(df.where("stratum <> 'fr' or not good or n_symbols = 0"), 0.004, 0.05)
+    assert set(got) == {(s, "symbols") for s in ("de", "en", "fr")}  # 'other' has no good documents
+    more = spark.range(3000).selectExpr("'en' AS stratum", "true AS good", "0L AS n_symbols", *[f"{v}L AS {c}" for c, v in {"n_words": 60, "word_chars": 300, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1, "n_capitals": 0}.items()])
+    got = quality_rules.certified(df.unionByName(more), 0.004, 0.05)
+    assert set(got) == {("de", "symbols"), ("en", "symbols")}  # the pool's cutoffs reject 2 of 60 good ones in 'fr'
+
+
 def test_mixing_meets_targets(odd_docs, no_docs, spark):
     rng = random.Random(11)
     rows = [(k, " ".join("w" for _ in range(rng.randrange(0, 300))), rng.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(900)]
