@@ -1,12 +1,13 @@
 """Best-fit packing of token pieces into sequences, bulk-synchronously.
 
-Lengths and gaps are whole numbers under the capacity, so both sides of the matching are held
-as ordered runs: documents range-sorted into runs of one length, gaps into runs of one size.
-A sweep takes the longest run of documents still open and gives it the run of the least gaps
-that it fits (its successor); the k-th document takes the k-th gap, so no two want one. The gaps
-so filled become runs of smaller gaps, and the sweep repeats. The runs don't grow with the
-number of documents: the sweep sees at most `capacity` lengths and as many gaps. Placing the
-documents by their ranks is distributed: the tasks get the runs, not the documents.
+Lengths and gaps are whole numbers up to the capacity, so documents are range-sorted into runs of
+one length, gaps into runs of one size, each a few thousand rows at most however many documents
+there are. In a round the tasks sweep ranges of sizes: a run of documents takes the least gaps
+that it fits, its successors. Runs that want the same gaps are served by rank, longest documents
+first; those that get none go up to the gaps that higher ranges have left. Then gaps shrink, new
+sequences are opened for the longest documents if nothing fits these, and the round repeats.
+The driver holds the runs between rounds.
+Placing the documents by their ranks is distributed too: its tasks get runs, not documents.
 """
 
 from __future__ import annotations
@@ -14,75 +15,132 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import NO_ID, cut, shown_id, tidy
 
+#: Kinds of runs: gaps, documents still open, and documents placed.
+GAP, OPEN, PLACED = 0, 1, 2
+#: Ranges of sizes that are swept side by side, and documents in a sequence up to which only
+#: the longest ones open new sequences.
+RANGES, FEW = 8, 8
+SCHEMA = pa.schema([("kind", pa.int32()), ("size", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("rank", pa.int64()), ("offset", pa.int32())])
+RUN = "kind int, size int, first long, n long, rank long, offset int"
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit-decreasing over runs: (length, first rank, how many, first sequence, offset).
 
-    Document first + k of a length goes to sequence first + k at the offset. The result has as
-    many sequences as placing the documents one by one, longest first, each in the fullest
-    sequence that has room.
+def sweep(runs: Iterable[tuple[int, int, int, int, int, int]], capacity: int) -> tuple[list, list, list]:
+    """Documents with their places, documents left and gaps left, all of them runs.
+
+    A run is (kind, size, first, n, rank, offset): of gaps, those of the sequences first to
+    first + n - 1; of open documents, n from `rank` on; of placed ones, document rank + k is in
+    sequence first + k at the offset. From large to small, documents take the gaps that were met last.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size: runs of sequences (first, how many)
-    sizes: list[int] = []
-    out, opened = [], 0
-
-    def give(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                fits = capacity // length
-                n = -(-left // fits)
-                give(capacity, opened, n)
-                opened += n
-                continue
-            size = sizes[at]
-            first, n = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size]
-                sizes.pop(at)
-            fits = size // length  # what is left of a gap is the least successor again
-            full = min(n, left // fits)
-            for many, times in ((full, fits), (min(n - full, 1), min(left - full * fits, fits - 1))):
+    stack, placed, left, gaps = [], [], [], []
+    for kind, size, first, n, rank, _ in sorted(runs, key=lambda r: (-r[1], r[0], r[2], r[4])):
+        if kind == GAP:
+            stack.append((size, first, n))
+            continue
+        while n and stack:
+            gap, at, m = stack.pop()
+            fits = gap // size  # what is left of a gap is the least successor again
+            full = min(m, n // fits)
+            for many, times in ((full, fits), (min(m - full, 1), min(n - full * fits, fits - 1))):
                 if not many or not times:
                     continue
                 for k in range(times):
-                    out.append((length, rank, many, first, capacity - size + k * length))
+                    placed.append((PLACED, size, at, many, rank, capacity - gap + k * size))
                     rank += many
-                left -= many * times
-                give(size - times * length, first, many)
-                first, n = first + many, n - many
-            give(size, first, n)
-    return out
+                n -= many * times
+                if gap > times * size:
+                    gaps.append((GAP, gap - times * size, at, many, 0, 0))
+                at, m = at + many, m - many
+            if m:
+                stack.append((gap, at, m))
+        if n:
+            left.append((OPEN, size, 0, n, rank, 0))
+    return placed, left, gaps + [(GAP, size, at, m, 0, 0) for size, at, m in stack]
+
+
+def opened(left: list, gaps: list, capacity: int, number: int) -> tuple[list, list, list, int]:
+    """New sequences, from `number` on, for the longest documents left if no gap fits any of these.
+
+    Returns placed runs, documents left, new gaps and how many sequences were opened. The longest
+    are those of which as few fit a sequence as of the very longest. By rank, so few at a time
+    share one: best fit would do the same, as what is left of it fits none of them.
+    """
+    few = capacity // max(r[1] for r in left)
+    longest = [r for r in left if few > FEW or r[1] > capacity // (few + 1)]
+    if any(g[1] >= min(r[1] for r in longest) for g in gaps):
+        return [], left, [], 0
+    if few > FEW:
+        n = max(1, sum(r[1] * r[3] for r in longest) // capacity)
+        return [], left, [(GAP, capacity, number, n, 0, 0)], n
+    placed, fresh = [], []
+    at, held, fill = number, 0, 0  # the sequence that isn't full yet, its documents and tokens
+    for _, length, _, n, rank, _ in sorted(longest, key=lambda r: -r[1]):
+        while n:
+            many, times = (1, 1) if held or n < few else (n // few, few)
+            for k in range(times):
+                placed.append((PLACED, length, at, many, rank, fill + k * length))
+                rank += many
+            n -= many * times
+            held, fill = held + times, fill + times * length
+            if held == few:
+                if fill < capacity:
+                    fresh.append((GAP, capacity - fill, at, many, 0, 0))
+                at, held, fill = at + many, 0, 0
+    if held:
+        fresh.append((GAP, capacity - fill, at, 1, 0, 0))
+        at += 1
+    return placed, [r for r in left if few <= FEW and r[1] <= capacity // (few + 1)], fresh, at - number
+
+
+def placed_runs(spark: SparkSession, counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """The PLACED runs of counts[length] documents of each length, by rounds of sweeps in tasks."""
+
+    def table(rows: list) -> pa.Table:
+        columns = list(zip(*rows)) or [()] * len(SCHEMA)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], SCHEMA)
+
+    def matched(rows: pa.Table) -> pa.Table:
+        """The documents of a range take its gaps."""
+        runs = list(zip(*(c.to_pylist() for c in rows.select(SCHEMA.names).columns)))
+        found = sweep((r for r in runs if r[0] != PLACED), capacity)
+        return table([r for r in runs if r[0] == PLACED] + [r for part in found for r in part])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the ranges left meets: documents take gaps of higher ranges."""
+        yield from matched(pa.Table.from_batches(batches, SCHEMA)).to_batches()
+
+    done, number, gaps = [], 0, []
+    left = [(OPEN, length, 0, n, 0, 0) for length, n in sorted(counts.items())]
+    while left:
+        placed, left, fresh, n = opened(left, gaps, capacity, number)
+        done, number = done + placed, number + n
+        ranges = F.floor((F.col("size") - 1) * RANGES / capacity)
+        swept = spark.createDataFrame(table(left + gaps + fresh)).groupBy(ranges).applyInArrow(matched, RUN)
+        rows = [tuple(r) for r in swept.repartition(1).mapInArrow(across, RUN).collect()] if left else []
+        left, gaps, placed = ([r for r in rows if r[0] == kind] for kind in (OPEN, GAP, PLACED))
+        done += placed
+    return done
 
 
 class _Encoder:
     """ids of whole texts by the byte-level BPE of a tokenizer file; ids of words are kept for a while.
 
     Every pre-token that holds a space after a character that isn't white space begins with it,
-    so texts part there without changing ids. Words that aren't known yet go through a faster
-    reader of the same vocabulary if ids are in the order of merges, else through the tokenizer.
+    so texts part there without changing ids. Short words that aren't known yet go through a
+    faster reader of the same vocabulary if ids are in the order of merges; all else, long runs
+    of blanks too, goes through the tokenizer itself.
     """
 
-    LIMIT = 400_000
+    LIMIT, LONG = 200_000, 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -113,7 +171,7 @@ class _Encoder:
         return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        return np.array((self.encode if len(text) <= self.LONG else self._plain)(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -127,10 +185,15 @@ class _Encoder:
         except KeyError:
             if len(rest) > self.LIMIT:
                 rest.clear()
+            out = [self._ids(start)]
             for w in words:
-                if w not in rest:
-                    rest[w] = self._ids(" " + w)
-            return self._ids(start) + b"".join([rest[w] for w in words])
+                ids = rest.get(w)
+                if ids is None:
+                    ids = self._ids(" " + w)
+                    if len(w) <= self.LONG:
+                        rest[w] = ids
+                out.append(ids)
+            return b"".join(out)
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -154,7 +217,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "piece", "start", "length", "ids_crc32"])
-        _encoders.clear()
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")))
     return source.mapInArrow(tidy(run), "id long, piece int, start long, length long, ids_crc32 long")
@@ -172,12 +234,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     sizes = cutting.groupBy("task", "length").count()
     table = cut(sizes)
     whole = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    runs = sweep(whole, capacity)
-    lengths = np.array([r[0] for r in runs], np.int64)
-    ranks = np.array([r[1] for r in runs], np.int64)
+    runs = placed_runs(docs.sparkSession, whole, capacity)
+    lengths, first, ranks, offset = (np.array([r[k] for r in runs], np.int64) for k in (1, 2, 4, 5))
     order = np.lexsort([ranks, lengths])
-    lengths, ranks = lengths[order], ranks[order]
-    first, offset = (np.array([r[k] for r in runs], np.int64)[order] for k in (3, 4))
+    lengths, first, ranks, offset = lengths[order], first[order], ranks[order], offset[order]
     begins = np.searchsorted(lengths, np.arange(capacity + 2))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     base = table.select("task", F.col("length").alias("size"), F.coalesce(before, F.lit(0)).alias("base"))

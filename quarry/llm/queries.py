@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import embedding_dedup, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
-#: Where the public tokenizers' files are; one folder on every machine.
-TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
+#: The file of the public tokenizer; every machine has it at this place.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

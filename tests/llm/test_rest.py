@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.llm import mixing, packing, quality_rules, queries, token_counts, toxicity
 from quarry.llm.quality_classifier import co_train, quality_scores
 
-VOCABULARY = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+VOCABULARY = queries.BYTE_BPE
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -37,32 +37,39 @@ def test_token_counts(odd_docs, no_docs):
     assert token_counts.token_counts(no_docs, VOCABULARY).collect() == []
 
 
-def test_sweep_is_best_fit_decreasing():
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fits = [k for k, g in enumerate(gaps) if g >= s]
+        if fits:
+            gaps[min(fits, key=lambda k: gaps[k])] -= s
+        else:
+            gaps.append(capacity - s)
+    return len(gaps)
+
+
+def test_rounds_pack_about_as_best_fit_decreasing(spark):
     rng = random.Random(1)
-    for _ in range(60):
-        capacity = rng.choice([10, 64, 1024])
-        sizes = [rng.randint(1, capacity) for _ in range(rng.randint(1, 200))]
-        fill = collections.defaultdict(list)
-        for length, _, n, first, offset in packing.sweep(dict(collections.Counter(sizes)), capacity):
-            for k in range(n):
+    for capacity, low, high, n in ((10, 1, 10, 200), (64, 1, 64, 300), (1024, 1, 1024, 400), (1024, 200, 400, 300), (1024, 1, 60, 300), (1024, 600, 1024, 50)):
+        sizes = [rng.randint(low, high) for _ in range(n)]
+        fill, ranks = collections.defaultdict(list), collections.defaultdict(list)
+        for kind, length, first, many, rank, offset in packing.placed_runs(spark, dict(collections.Counter(sizes)), capacity):
+            assert kind == packing.PLACED
+            ranks[length] += range(rank, rank + many)
+            for k in range(many):
                 fill[first + k].append((offset, length))
-        gaps = []
-        for s in sorted(sizes, reverse=True):
-            fits = [k for k, g in enumerate(gaps) if g >= s]
-            if fits:
-                gaps[min(fits, key=lambda k: gaps[k])] -= s
-            else:
-                gaps.append(capacity - s)
-        assert len(fill) == len(gaps)
+        assert len(fill) == best_fit_decreasing(sizes, capacity)
         for own in fill.values():
             end = 0
             for offset, length in sorted(own):
                 assert offset == end
                 end += length
             assert end <= capacity
-        assert sorted(x for own in fill.values() for _, x in own) == sorted(sizes)
+        assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(m)) for x, m in collections.Counter(sizes).items()}
+    assert packing.placed_runs(spark, {}, 1024) == []
 
 
+LONG_RUNS = [f"a{c * n}b" for c, n in ((" ", 1_200_000), ("\n", 1_100_000), ("x", 300_000), ("ab ", 100_000), (" \t", 300), ("é", 257))]
 TRICKY = ["a  b\n\nc   d \n e", "  lead", "tail  ", "don't we'll\t\tx \x1c y", "é ñ  ß 12 3.4!! ##", "<|endoftext|> x", "a  b  c ​ d", "", " ", "\n"]
 
 
@@ -71,7 +78,7 @@ def test_encoder_gives_the_tokenizers_ids():
 
     encode, want = packing._Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     rng = random.Random(9)
-    for text in TRICKY + ["".join(rng.choice("ab c\n\t é'1! \x1f") for _ in range(rng.randrange(80))) for _ in range(2000)]:
+    for text in TRICKY + ["".join(rng.choice("ab c\n\t é'1! \x1f") for _ in range(rng.randrange(80))) for _ in range(2000)] + LONG_RUNS:
         assert np.frombuffer(encode(text), "<u4").tolist() == want.encode(text, add_special_tokens=False).ids, repr(text)
 
 
