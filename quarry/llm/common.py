@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null document id inside operators; it sorts last.
@@ -20,15 +20,40 @@ NO_ID = (1 << 63) - 1
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a
-    temporary one is made.
+    The folder is the session's spark.checkpoint.dir; only where that is unset and one machine
+    does all the work (tests) a temporary one is made.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir, or on one machine a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="quarry-")
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before them where a column of df has them already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,30 +102,51 @@ def shown_id(name: str = "id"):
 
 
 def heavy_keys(counts: DataFrame, share: float) -> np.ndarray:
-    """Keys holding at least `share` of all counted rows, at most 2 / share of them.
+    """Keys holding at least `share` of all counted rows, at most 8 / (3 share) of them.
 
-    counts: rows (key long, n long, total long) made by local_heavy() in each task. A task
-    reports only keys with share / 2 of its own rows, so a key of `share` overall has at least
-    half of it reported; those with share / 2 of all rows are kept. Both lists are bounded.
+    counts: rows (key long, n long, total long) of the tasks' Frequent. A task reports a key with
+    share / 2 of its own rows or more, short of share / 8 of them at most, so of a key of `share`
+    overall at least 3/8 are reported. Both lists are bounded.
     """
     total = counts.where("key is null").agg(F.sum("total")).first()[0] or 0
-    rows = counts.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, total * share / 2)).select("key").collect()
+    rows = counts.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, total * share * 3 / 8)).select("key").collect()
     return np.array(sorted(r[0] for r in rows), dtype=np.int64)
 
 
 HEAVY_SCHEMA = "key long, n long, total long"
 
 
-def local_heavy(keys: list[np.ndarray], share: float) -> pa.RecordBatch:
-    """The counts that heavy_keys() sums: one row with the total, then the frequent keys."""
-    every = np.concatenate(keys) if keys else np.empty(0, np.int64)
-    values, n = np.unique(every, return_counts=True)
-    often = n >= max(2.0, len(every) * share / 2)
-    values, n = values[often], n[often]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([None, *values.tolist()], pa.int64()), pa.array([0, *n.tolist()], pa.int64()), pa.array([len(every)] + [0] * len(values), pa.int64())],
-        names=["key", "n", "total"],
-    )
+class Frequent:
+    """Counts of the frequent keys of a stream, in bounded memory.
+
+    Holds at most 8 / share keys: beyond these the least count held goes off all counts (the
+    summary of Misra and Gries), so a count is too low by share / 8 of the rows at most.
+    """
+
+    def __init__(self, share: float):
+        self.share, self.most = share, int(8 / share)
+        self.keys, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.total = self.lost = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.total += len(keys)
+        values, n = np.unique(keys, return_counts=True)
+        self.keys, at = np.unique(np.append(self.keys, values), return_inverse=True)
+        both = np.append(self.n, n)
+        self.n = np.bincount(at, both, minlength=len(self.keys)).astype(np.int64)
+        if len(self.keys) > self.most:
+            off = int(np.partition(self.n, len(self.n) - self.most - 1)[len(self.n) - self.most - 1])
+            self.lost += off
+            self.keys, self.n = self.keys[self.n > off], self.n[self.n > off] - off
+
+    def batch(self) -> pa.RecordBatch:
+        """What heavy_keys() sums: one row with the total, then the frequent keys."""
+        often = self.n + self.lost >= max(2.0, self.total * self.share / 2)
+        keys, n = self.keys[often], self.n[often]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([None, *keys.tolist()], pa.int64()), pa.array([0, *n.tolist()], pa.int64()), pa.array([self.total] + [0] * len(keys), pa.int64())],
+            names=["key", "n", "total"],
+        )
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:

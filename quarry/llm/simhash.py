@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY_SCHEMA, NO_ID, cut, components, follow, forest, heavy_keys, keyed, local_heavy, partitions, shown_id, tidy
+from quarry.llm.common import HEAVY_SCHEMA, NO_ID, Frequent, column, components, cut, follow, forest, heavy_keys, keyed, own_names, partitions, shown_id, tidy
 from quarry.llm.windows import K2, mixed
 
 SEED = 42
@@ -86,23 +87,21 @@ def linked(keys: np.ndarray, fp: np.ndarray, most: int) -> np.ndarray:
     """
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     n = np.diff(np.append(start, len(keys)))
-    out = []
+    found = _Links()
     for s, c in zip(start[n > 600].tolist(), n[n > 600].tolist()):
         own = np.unique(fp[s : s + c])
-        m = bin(int(np.bitwise_or.reduce(own ^ own[0]))).count("1")
-        ways = sum(len(list(combinations(range(m), k))) if m < 12 else [m, m * (m - 1) // 2, m * (m - 1) * (m - 2) // 6][k - 1] for k in range(1, most + 1))
-        if ways * 8 < len(own):
-            for mask in _masks(int(np.bitwise_or.reduce(own ^ own[0])), most):
+        varying = int(np.bitwise_or.reduce(own ^ own[0]))
+        m = varying.bit_count()
+        if sum(comb(m, k) for k in range(1, most + 1)) * 8 < len(own):
+            for mask in _masks(varying, most):
                 to = own ^ np.uint64(mask)
                 at = np.minimum(np.searchsorted(own, to), len(own) - 1)
                 hit = (own[at] == to) & (own < to)
-                out.append(np.column_stack([own[hit], to[hit]]))
+                found.add(own[hit], to[hit])
         else:
-            pairs = []
             for k in range(1, len(own)):
                 hit = np.bitwise_count(own[k:] ^ own[:-k]) <= most
-                pairs.append(np.column_stack([own[k:][hit], own[:-k][hit]]))
-            out.append(forest(np.concatenate(pairs).view(np.int64)).view(np.uint64))
+                found.add(own[k:][hit], own[:-k][hit])
     start, n = start[n <= 600], n[n <= 600]
     step = 1
     while len(start := start[n > step]):
@@ -110,9 +109,36 @@ def linked(keys: np.ndarray, fp: np.ndarray, most: int) -> np.ndarray:
         reach = n - step
         a = np.repeat(start, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
         hit = np.bitwise_count(fp[a] ^ fp[a + step]) <= most
-        out.append(np.column_stack([fp[a[hit]], fp[a[hit] + step]]))
+        found.add(fp[a[hit]], fp[a[hit] + step])
         step += 1
-    return np.concatenate(out) if out else np.empty((0, 2), np.uint64)
+    return found.pairs().view(np.uint64)
+
+
+class _Links:
+    """Pairs of linked fingerprints; once there are many, a forest that connects the same ones."""
+
+    MOST = 1_000_000
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.size = self.after = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if not len(a):
+            return
+        self.held.append(np.column_stack([a, b]).view(np.int64))
+        self.size += len(a)
+        if self.size > self.after + self.MOST:
+            self.held = [forest(self.pairs())]
+            self.size = self.after = len(self.held[0])
+
+    def pairs(self) -> np.ndarray:
+        return np.concatenate(self.held) if self.held else np.empty((0, 2), np.int64)
+
+
+def parts(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The fingerprints in the first column, some thousands at a time."""
+    return np.array_split(batch.column(0).to_numpy().view(np.uint64), max(1, batch.num_rows // 2000))
 
 
 def rooted(fps: DataFrame, bits: int = 3) -> DataFrame:
@@ -123,13 +149,17 @@ def rooted(fps: DataFrame, bits: int = 3) -> DataFrame:
     share = 1 / (4 * partitions(fps.sparkSession))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield local_heavy([variants(b.column(0).to_numpy().view(np.uint64)).ravel().view(np.int64) for b in batches], share)
+        seen = Frequent(share)
+        for b in batches:
+            for part in parts(b):
+                seen.add(variants(part).ravel().view(np.int64))
+        yield seen.batch()
 
     hot = heavy_keys(cut(reps.select("fp").mapInArrow(tidy(counted), HEAVY_SCHEMA)), share).view(np.uint64)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in np.array_split(b.column(0).to_numpy().view(np.uint64), max(1, b.num_rows // 2000)):
+            for part in parts(b):
                 key, fp = variants(part).ravel(), np.repeat(part, 64)
                 if len(hot) and (often := np.isin(key, hot)).any():
                     again = second_variants(key[often], fp[often]).ravel()
@@ -137,15 +167,10 @@ def rooted(fps: DataFrame, bits: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        held = 0
+        kept = _Links()
         for keys, fp in whole_keys(batches):
-            kept.append(linked(keys, fp, bits).view(np.int64))
-            held += len(kept[-1])
-            if held > 2_000_000:
-                kept = [forest(np.concatenate(kept))]
-                held = len(kept[0])
-        tree = forest(np.concatenate(kept)) if kept else np.empty((0, 2), np.int64)
+            kept.add(*linked(keys, fp, bits).T)
+        tree = forest(kept.pairs())
         yield pa.RecordBatch.from_arrays([pa.array(tree[:, 0]), pa.array(tree[:, 1])], names=["a", "b"])
 
     keys = reps.select("fp").mapInArrow(tidy(indexed), "key long, fp long").repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
@@ -199,9 +224,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps = cut(fingerprints(docs, id_col, text_col))
     groups = cut(rooted(fps.select("id", "fp"), bits).select(F.col("fp").alias("node"), F.col("root").alias("up")))
     first = follow(fps, "fp", groups).groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first"))
-    kept = first.select(F.col("first.id").alias("__id"), F.col("first.th").alias("__th"))
-    names = docs.columns
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    both = rows.join(kept, ["__id", "__th"])
-    one = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
-    return both.withColumn("__n", one).where("__n = 1").select(*names)
+    a, b, c, d = own_names(docs, "own_id", "own_th", "kept_id", "kept_th")
+    kept = first.select(F.col("first.id").alias(c), F.col("first.th").alias(d))
+    rows = docs.withColumns({a: F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)), b: F.xxhash64(F.coalesce(column(text_col), F.lit("")))})
+    both = rows.join(kept, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left_semi")
+    return both.dropDuplicates([a, b]).select(*map(column, docs.columns))

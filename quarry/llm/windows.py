@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY_SCHEMA, cut, heavy_keys, local_heavy, partitions, tidy
+from quarry.llm.common import HEAVY_SCHEMA, Frequent, cut, heavy_keys, partitions, tidy
 
 #: Text that is worked on at once in a task, and packed text held before it is sent on, in bytes.
 STEP, HELD = 3 << 19, 28 << 20
@@ -177,7 +177,10 @@ def removals(
     share = 1 / (2 * buckets)
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield local_heavy([runs(batch(*some), length, gram)[3] for some in documents(batches, STEP)], share)
+        seen = Frequent(share)
+        for some in documents(batches, STEP):
+            seen.add(runs(batch(*some), length, gram)[3])
+        yield seen.batch()
         Fingerprints.forget()
 
     hot = heavy_keys(cut(docs.mapInArrow(tidy(minimisers), HEAVY_SCHEMA)), share)
@@ -265,15 +268,17 @@ def removals(
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
-    """Rows (id, th, lo, hi) with the spans of a document that overlap or touch made one."""
-    spans = spans[np.lexsort([spans[:, 2], spans[:, 1], spans[:, 0]])]
-    same = np.append(False, (spans[1:, :2] == spans[:-1, :2]).all(1))
-    shift = np.cumsum(~same) << 40  # documents apart from each other on one line
-    lo, hi = spans[:, 2] + shift, np.maximum.accumulate(spans[:, 3] + shift)
-    first = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
-    out = spans[first]
-    last = np.append(first[1:], len(spans)) - 1
-    out[:, 3] = hi[last] - shift[last]
+    """Rows (id, th, lo, hi) with the spans of a document that overlap or touch made one.
+
+    Ordered by document and first unit, and the ends by document and end: a span starts anew
+    where as many spans of its document have ended before it as have started.
+    """
+    by_start = spans[np.lexsort([spans[:, 2], spans[:, 1], spans[:, 0]])]
+    ends = spans[np.lexsort([spans[:, 3], spans[:, 1], spans[:, 0]]), 3]
+    fresh = np.append(True, (by_start[1:, :2] != by_start[:-1, :2]).any(1) | (by_start[1:, 2] > ends[:-1]))
+    first = np.flatnonzero(fresh[: len(spans)])
+    out = by_start[first]
+    out[:, 3] = ends[np.append(first[1:], len(spans)) - 1] if len(first) else out[:, 3]
     return out
 
 
