@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import windows as W
-from quarry.llm.common import free_shuffles, keyed, shown_id, tidy
+from quarry.llm.common import column, free_shuffles, keyed, shown_id, tidy
 
 GRAM = 16
 #: Powers of 2 modulo 73: each difference modulo 73 occurs between two of them.
@@ -118,7 +118,8 @@ def _decide(length: int):
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, carry: tuple[str, ...] = (), whole_letters: bool = False) -> DataFrame:
     """Remove every byte in a string of `length` bytes that also starts anywhere else.
 
-    Returns (doc_id, n_bytes, n_removed, n_spans, kept binary) and the columns named in carry.
+    Returns (doc_id, n_bytes, n_removed, n_spans, kept binary) and the columns named in carry as
+    carried_0, carried_1 and so on.
     Overlapping occurrences count, in one document too; strings never cross documents and are
     judged on the input. A null text counts as empty; it and texts under `length` bytes lose
     nothing. Repeated rows are different documents, so both lose such strings; a null id stays
@@ -150,10 +151,10 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["id", *carried, "n_bytes", "n_removed", "n_spans", "kept"])
 
     carried = [f"carried_{k}" for k in range(len(carry))]
-    full = docs.select(*[F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")], *[F.col(c).alias(k) for c, k in zip(carry, carried)])
+    full = docs.select(*[F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")], *[column(c).alias(k) for c, k in zip(carry, carried)])
     full = full.withColumn("th", F.xxhash64("body")).withColumn("body", F.col("body").cast("binary"))
     both = full.join(W.spans_of(found), ["id", "th"], "left").select("id", "body", "lows", "highs", *carried)
     kinds = {f.name: f.dataType.simpleString() for f in full.schema}
     schema = ", ".join(["id long", *[f"{c} {kinds[c]}" for c in carried], "n_bytes long, n_removed long, n_spans long, kept binary"])
     done = both.mapInArrow(tidy(keep), schema)
-    return done.select(shown_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *[F.col(k).alias(c) for c, k in zip(carry, carried)])
+    return done.select(shown_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *carried)

@@ -13,8 +13,9 @@ def odd_docs(spark):
         (7, "x" * 900, "es", "c"), (8, "é" * 350 + " tail", "fr", "c"), (9, " \t\n ", "en", "b"), (10, "one two", "en", "b"), (11, "one two", "en", "b"),
         (12, "a # b # c\na # b # c\nplain line " + " ".join(f"u{k}" for k in range(60)), "en", "a"),
     ]
-    rows = [(*r, len(r[1] or ""), 0, "x", 5) for r in rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, th int, key string, id int")
+    names = ("th", "id", "h", "own_id", "own_th", "own_nth", "own_hash", "mix_id", "mix_take", "__id", "__th", "__h", "__n", "__t", "__k", "__takes", "__w", "__g", "n_words", "n_bytes", "carried_0", "kept_id", "`a.b`", "Size")
+    rows = [(*r, len(r[1] or ""), "x", ["y"], *[7] * len(names)) for r in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, kept array<string>, " + ", ".join(f"{n} int" for n in names))
 
 
 @pytest.fixture(scope="session")

@@ -1,6 +1,7 @@
 """The other operators and the pipeline against brute force."""
 
 import collections
+import heapq
 import math
 import random
 import re
@@ -193,6 +194,61 @@ def test_mixing_meets_targets(odd_docs, no_docs, spark):
     assert mixing.mix(no_docs).collect() == [] and mixing.mixed_documents(no_docs).collect() == []
 
 
+def highest_quotients(units, house):
+    """Seats of (unit, votes, most) by a heap of quotients."""
+    seats, most, votes = {u: 0 for u, *_ in units}, {u: m for u, _, m in units}, {u: v for u, v, _ in units}
+    heap = [(-v, u) for u, v, m in units if m]
+    heapq.heapify(heap)
+    for _ in range(house):
+        if not heap:
+            break
+        _, u = heapq.heappop(heap)
+        seats[u] += 1
+        if seats[u] < most[u]:
+            heapq.heappush(heap, (-votes[u] / (2 * seats[u] + 1), u))
+    return seats
+
+
+def test_seats_go_to_the_highest_quotients(spark):
+    rng = random.Random(3)
+    cases = {
+        "skewed": ([(0, 16000.0, 3000)] + [(k, 6.0, 2) for k in range(1, 401)], 1150),
+        "mixed": ([(k, float(rng.randint(0, 3000)), 563) for k in range(300)], 9000),
+        "equal": ([(k, 100.0, 19) for k in range(300)], 1111),
+        "stopped": ([(0, 1000.0, 3), (1, 10.0, 50), (2, 10.0, 50)], 40),
+        "full": ([(0, 8.0, 2), (1, 5.0, 1)], 9),
+        "none": ([(0, 5.0, 1)], 0),
+    }
+    units = spark.createDataFrame([(c, u, v, m) for c, (own, _) in cases.items() for u, v, m in own], "key string, unit long, votes double, most long").repartition(8)
+    houses = spark.createDataFrame([(c, h) for c, (_, h) in cases.items()], "key string, house long")
+    got = collections.defaultdict(dict)
+    for r in mixing.apportioned(units, houses).collect():
+        got[r.key][r.unit] = r.quota
+    assert got == {c: highest_quotients(own, house) for c, (own, house) in cases.items()}
+
+
+def test_mixed_texts_are_the_words_drawn(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 4000)
+    rows = [(k, " \n" * (k % 3) + "".join(f"d{k}w{j}{' ' if j % 5 else chr(10)}" for j in range(k * 37 % 900)), "abcde"[k * k % 5], k) for k in range(120)]
+    rows += [(7, "same text here", "a", 1)] * 300 + [(None, "one two three", None, 2)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, own_id int").repartition(6)
+    plan, out = mixing.mix(df).collect(), mixing.mixed_documents(df).collect()
+    want, got = collections.Counter(), collections.Counter()
+    for r in plan:
+        want[r.doc_id] += r.taken
+        assert r.taken == r.passes * r.size + sum(p.hi - p.lo for p in r.parts)
+    texts = {i: t for i, t, *_ in rows}
+    for r in out:
+        got[r.doc_id] += len(r.text.split())
+        if r.doc_id != 7 and r.text != texts[r.doc_id]:  # a part: runs of its words, with the blanks between them
+            words = r.text.split()
+            assert "d" in words[0] or r.doc_id is None
+            assert all(piece in texts[r.doc_id] for piece in re.split(r" (?=d\d+w0\b)", r.text)) or len(words) < len(texts[r.doc_id].split())
+    assert got == +want
+    assert any("\n" in r.text and r.text != texts[r.doc_id] for r in out)
+    assert len({r.nth for r in plan if r.size == 3 and r.doc_id == 7}) == 300
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -262,6 +318,33 @@ def test_co_training_uses_the_pool():
         assert ((v[300:] @ m[:-1] + m[-1] > 0) == y[300:]).mean() > 0.85
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    """Every stage by itself on nulls, repeats, copies and columns with names that operators use."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1), (None, 1), (2, None), (3, 0)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = odd_docs.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, str(tmp_path))
+        got = out.collect()
+        assert stage(spark, no_docs, str(tmp_path)).collect() == []
+        if name == "best-fit packing":
+            assert {r.doc_id for r in got} == {r.doc_id for r in rows}
+            continue
+        assert out.columns == odd_docs.columns
+        assert all(r["__id"] == r["a.b"] == r.own_id == 7 and r.kept == ["y"] and r.key == "x" for r in got)
+        if name == "quality rules":
+            assert sorted(str(r) for r in got) == sorted(str(r) for r in rows if not measures(r.text)[-1])
+        elif name == "suffix-array dedup":
+            assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in rows)
+            assert all(r.n_chars == len(r.text) for r in got) and next(r for r in got if r.doc_id == 10).text == "one two"
+        elif name == "source mixing":
+            size = collections.Counter(str(r.doc_id) for r in rows for _ in (r.text or "").split())
+            taken = collections.Counter(str(r.doc_id) for r in got for _ in r.text.split())
+            assert all(0 < taken[k] <= 3 * size[k] for k in taken)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
