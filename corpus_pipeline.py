@@ -8,44 +8,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing, packing, quality_rules, simhash, suffix_dedup
-from quarry.llm.queries import TOKENIZERS
+from quarry.llm.common import column, own_names, shared_folder
+from quarry.llm.queries import BYTE_BPE
 from quarry.session import small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, with all their columns.
+
+    Null or empty texts have no words, so they go. Rows with equal ids, null ids too, are judged
+    by their own text and language. Without labels the base rule alone decides.
+    """
     verdicts = quality_rules.quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    rows = docs.withColumn("__h", F.xxhash64("text", "lang"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi").drop("__h")
+    h, i, t = own_names(docs, "own_hash", "kept_id", "kept_hash")
+    kept = verdicts.where("kept").select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct()
+    rows = docs.withColumn(h, F.xxhash64("text", "lang"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)), "left_semi").drop(h)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the first by id; null ids come last.
+
+    Null and empty texts are copies of each other. Of equal rows one stays.
+    """
     small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 200 bytes that occur elsewhere; bytes of a letter cut in two go too."""
+    """Texts without the strings of 200 bytes that occur elsewhere; bytes of a letter cut in two go too.
+
+    Every row stays; null texts become empty, n_chars follows the text.
+    """
     small_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     done = suffix_dedup.remove_repeated_bytes(docs, carry=others, whole_letters=True)
-    rows = done.withColumn("text", F.col("kept").cast("string"))
+    out = {"text": F.col("kept").cast("string"), "doc_id": F.col("doc_id")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+        out["n_chars"] = F.length(out["text"]).cast("long")
+    return done.select(*[out[c].alias(c) if c in out else column(f"carried_{others.index(c)}").alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents as often as it takes them."""
+    """The mix of sources: documents as often as it takes them, the last time perhaps a part of the words.
+
+    Documents without words go. A null source is a source; equal rows are different documents.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece's place in a sequence of 1024 tokens."""
+    """Each piece's place in a sequence of 1024 tokens; a null text counts as empty, ids may be null or repeat."""
     small_batches(spark)
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(docs, BYTE_BPE)
 
 
 STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("suffix-array dedup", repeats), ("source mixing", mix), ("best-fit packing", pack)]
@@ -54,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again in the shared folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
