@@ -1,12 +1,11 @@
 """Suffix-array dedup of 200-byte strings, one suffix bucket at a time.
 
 Suffixes (byte positions with 200 bytes left in their document) are dealt to buckets by the
-minimiser of those bytes, so suffixes that agree that far meet (quarry.llm.windows). A bucket is
-sorted in blocks of bounded size. Suffixes alone with the fingerprint of their first 200 bytes
-leave; neighbours that tie are compared exactly: 73 bytes directly, then by the ranks of a
-difference-cover sample computed beforehand for the block. For any two suffixes there is an
-offset under 73 at which both meet the sample (the cover is a perfect difference set modulo 73),
-and the ranks there cover the next 128 bytes; 72 more are compared at the end.
+minimiser of those bytes, so suffixes that agree that far meet (quarry.llm.windows). Buckets are
+sorted in blocks of bounded size. The suffixes in every difference-cover residue are ranked
+beforehand, by doubling the bytes that count until these are 200 or more. Then all suffixes are
+sorted by their first bytes, and long ties by the ranks: for any two suffixes there is an offset
+under 13 at which both are in the cover. Equal strings are neighbours in that order.
 """
 
 from __future__ import annotations
@@ -22,8 +21,10 @@ from quarry.llm import windows as W
 from quarry.llm.common import column, free_shuffles, keyed, shown_id, tidy
 
 GRAM = 16
-#: Powers of 2 modulo 73: each difference modulo 73 occurs between two of them.
-MODULUS, COVER = 73, (1, 2, 4, 8, 16, 32, 64, 55, 37)
+#: Each difference modulo 13 occurs between two residues of the cover.
+MODULUS, COVER = 13, (0, 1, 3, 9)
+#: Bytes that suffixes are sorted by before ranks are: 8, then 5 at a time.
+HEAD = 33
 
 _member = np.zeros(MODULUS, bool)
 _member[list(COVER)] = True
@@ -32,9 +33,9 @@ OFFSET = np.array([[next(k for k in range(MODULUS) if _member[(a + k) % MODULUS]
 
 
 def _words(buf: bytes) -> np.ndarray:
-    """The 8 bytes from each position on as one number; zeros follow the end."""
-    padded = np.frombuffer(buf + bytes(8), np.uint8)
-    return np.ndarray((len(buf),), "<u8", padded, strides=(1,))
+    """The 8 bytes from each position on as one number; zeros follow the end, and HEAD more positions do."""
+    padded = np.frombuffer(buf + bytes(HEAD + 16), np.uint8)
+    return np.ndarray((len(buf) + HEAD,), "<u8", padded, strides=(1,))
 
 
 def _batch(ids: list[int], ths: list[int], texts: list[bytes]) -> W.Batch:
@@ -51,58 +52,105 @@ def _piece(buf: bytes, lo: int, hi: int) -> bytes:
 
 
 def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether `length` bytes (8 at least) from a and from b on are equal."""
+    """Whether the `length` bytes from a and from b on are equal."""
     same = np.ones(len(a), bool)
-    for k in [*range(0, length - 8, 8), length - 8]:
-        same &= words[a + k] == words[b + k]
+    left = np.arange(len(a))
+    for k in range(0, length, 8):
+        rest = np.uint64(max(0, 64 - 8 * (length - k)))  # bits beyond the length
+        left = left[((words[a[left] + k] ^ words[b[left] + k]) << rest) == 0]
+        if not len(left):
+            break
+    same[:] = False
+    same[left] = True
     return same
 
 
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    """Numbers from 1 on of sorted keys, the same for equal ones."""
+    return np.cumsum(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+
+
+def by_head(words: np.ndarray, at: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number): the positions sorted by their first `head` bytes, with numbers of equal ones."""
+    key = words[at].byteswap()  # the first byte is the highest
+    order = np.argsort(key)
+    number = _numbers(key[order])
+    for k in range(8, head, 5):
+        size = np.bincount(number, minlength=2)
+        tied = np.flatnonzero(size[number] > 1)
+        if not len(tied):
+            break
+        own = order[tied]
+        more = words[at[own] + k].byteswap() >> np.uint64(24)
+        if len(at) < 1 << 24:
+            key = number[tied].astype(np.uint64) << np.uint64(40) | more
+            by = np.argsort(key)
+        else:
+            by = np.lexsort([more, number[tied]])
+        order[tied] = own[by]
+        fresh = np.append(True, number[1:] != number[:-1])
+        fresh[tied] |= np.append(True, more[by][1:] != more[by][:-1])
+        number = np.cumsum(fresh)
+    return order, number
+
+
 class CoverRanks:
-    """Ranks of the sampled suffixes near given positions by their first `span` bytes."""
-
-    def __init__(self, words: np.ndarray, prints: W.Fingerprints, at: np.ndarray, span: int, size: int):
-        near = np.zeros(size + MODULUS + 1, np.int32)
-        np.add.at(near, at, 1)
-        np.add.at(near, at + MODULUS, -1)
-        near = np.cumsum(near)[:size] > 0
-        sample = np.flatnonzero(near & _member[np.arange(size) % MODULUS])
-        sample = sample[sample + span <= size]
-        h = prints.of(sample, sample + span)
-        order = np.argsort(h)
-        sample, h = sample[order], h[order]
-        new = np.append(True, h[1:] != h[:-1])[: len(sample)]
-        new[1:] |= ~_equal(words, sample[1:], sample[:-1], span)  # a shared fingerprint is checked
-        self.rank = np.full(size, -1, np.int64)
-        self.rank[sample] = np.cumsum(new)
+    """Ranks of all positions in cover residues by their first `length` bytes or more."""
+
+    def __init__(self, words: np.ndarray, size: int, length: int):
+        sample = np.flatnonzero(np.resize(_member, size))
+        order, number = by_head(words, sample, MODULUS)
+        span = MODULUS
+        self.rank = np.zeros(size + 2 * length + 2 * MODULUS, np.int64)  # the end of the text is least
+        self.rank[sample[order]] = number
+        while span < length:
+            key = self.rank[sample] << 32 | self.rank[sample + span]
+            order = np.argsort(key)
+            self.rank[sample[order]] = _numbers(key[order])
+            span *= 2
+
+
+def suffix_order(buf: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): the positions sorted by their first `length` bytes, and which of them share these with the next."""
+    words = _words(buf)
+    order, number = by_head(words, at, HEAD)
+    same = number[1:] == number[:-1]
+    if length > HEAD and same.any():
+        rank = CoverRanks(words, len(buf), length).rank
+        known = np.zeros(len(same), bool)
+        size = np.bincount(number)
+        slots = np.flatnonzero(size[number] > 1)  # places in the order that ties hold
+        group = _numbers(number[slots]) - 1
+        while len(slots):
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            size = np.diff(np.append(first, len(group)))
+            here = at[order[slots]]
+            pivot = here[first + size // 2][group]
+            k = OFFSET[here % MODULUS, pivot % MODULUS]
+            side = np.sign(rank[here + k] - rank[pivot + k]) + 1
+            key = group * 3 + side
+            by = np.argsort(key, kind="stable")
+            order[slots], key = order[slots][by], key[by]
+            tie = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] % 3 == 1))
+            known[slots[tie]] = True  # both equal the pivot
+            number = _numbers(key)
+            size = np.bincount(number)
+            open_ = (key % 3 != 1) & (size[number] > 1)
+            slots, group = slots[open_], _numbers(number[open_]) - 1
+        ask = np.flatnonzero(same & ~known)
+        same = known
+    else:
+        ask = np.flatnonzero(same) if length > HEAD else np.arange(len(same))
+        same = np.zeros(len(same), bool)
+    same[ask] = _equal(words, at[order[ask]], at[order[ask + 1]], length)
+    return order, same
 
 
 def repeated(buf: bytes, at: np.ndarray, length: int) -> np.ndarray:
     """Which of the suffixes at these positions share their first `length` bytes with another."""
-    prints = W.Fingerprints(buf)
-    h = prints.of(at, at + length)
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
+    order, same = suffix_order(buf, at, length)
     out = np.zeros(len(at), bool)
-    if not same.any():
-        return out
-    a, b = order[:-1][same], order[1:][same]
-    words = _words(buf)
-    if length >= 2 * MODULUS + 54:
-        head, span = MODULUS, length - MODULUS + 1
-        ranks = CoverRanks(words, prints, np.unique(at[np.concatenate([a, b])]), span, len(buf)).rank
-        k = OFFSET[at[a] % MODULUS, at[b] % MODULUS]
-        exact = _equal(words, at[a], at[b], head) & (ranks[at[a] + k] == ranks[at[b] + k]) & _equal(words, at[a] + length - MODULUS + 1, at[b] + length - MODULUS + 1, MODULUS - 1)
-    else:
-        exact = _equal(words, at[a], at[b], length) if length >= 8 else np.array([buf[x : x + length] == buf[y : y + length] for x, y in zip(at[a], at[b])])
-    if exact.all():
-        out[a] = out[b] = True
-        return out
-    groups: dict[bytes, list[int]] = {}  # a fingerprint or rank shared by unequal strings
-    for i in np.unique(np.concatenate([a, b])).tolist():
-        groups.setdefault(buf[at[i] : at[i] + length], []).append(i)
-    for own in groups.values():
-        out[own] = len(own) > 1
+    out[order[:-1][same]] = out[order[1:][same]] = True
     return out
 
 
@@ -115,6 +163,18 @@ def _decide(length: int):
     return decide
 
 
+def _alone(length: int, gram: int):
+    def alone(text: bytes, windows: int) -> bool:
+        """Whether no two windows of the piece can be equal.
+
+        All windows cover the bytes from the last one's start to the first one's end. Of two
+        equal windows the later one has them again as much earlier as it is later.
+        """
+        return windows <= length - gram + 1 and text.find(text[windows - 1 : length]) == windows - 1
+
+    return alone
+
+
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, carry: tuple[str, ...] = (), whole_letters: bool = False) -> DataFrame:
     """Remove every byte in a string of `length` bytes that also starts anywhere else.
 
@@ -127,7 +187,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     so that it is valid UTF-8. Other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col)
-    found = W.removals(rows, length, min(GRAM, length), _batch, _piece, _decide(length), least_id=False)
+    gram = min(GRAM, length)
+    found = W.removals(rows, length, gram, _batch, _piece, _decide(length), least_id=False, alone=_alone(length, gram))
     free_shuffles(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

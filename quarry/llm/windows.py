@@ -162,13 +162,15 @@ def removals(
     decide: Callable[[tuple], tuple[np.ndarray, np.ndarray, np.ndarray]],
     least_id: bool,
     between: bytes = b"",
+    alone: Callable[[bytes, int], bool] = lambda text, windows: True,
 ) -> DataFrame:
     """Spans to remove from docs, as (id, th, lo, hi), in units; they may overlap.
 
     docs: from keyed(). batch() makes units and gram hashes of some documents, piece() cuts the
     text of units [lo, hi), decide() finds in a block of pieces (every window of a minimiser
     together) the windows to remove and returns piece index, first window and windows of runs.
-    between stands between the pieces of a block.
+    between stands between the pieces of a block. A bucket that holds a single piece needs no
+    sorting if alone(text, windows) says that no two of its own windows can be equal.
     least_id: a window is removed only if a smaller id has it; else if it is anywhere else.
     Of copies of a piece in a task only one (least_id: one of the least id) is sent, marked.
     """
@@ -253,7 +255,7 @@ def removals(
                 x = unpacked(blob)
                 (done if x[0] is None else parts).append(x)
             out = [x[1] for x in done]
-            for block in blocks(parts, between):
+            for block in blocks(parts, between, alone):
                 p, first, n = decide(block)
                 start = block[5][p] + first
                 out.append(np.column_stack([block[3][p], block[4][p], start, start + n - 1 + length]))
@@ -295,8 +297,11 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield blobs
 
 
-def blocks(parts: list[tuple], between: bytes) -> Iterator[tuple]:
-    """(bytes, piece offsets, keys, ids, ths, starts, windows, twice) of about STEP bytes, all pieces of a key together."""
+def blocks(parts: list[tuple], between: bytes, alone: Callable[[bytes, int], bool]) -> Iterator[tuple]:
+    """(bytes, piece offsets, keys, ids, ths, starts, windows, twice) of about STEP bytes, all pieces of a key together.
+
+    Without the pieces that have a key for themselves and, alone() says, no equal windows.
+    """
     if not parts:
         return
     keys = np.concatenate([x[2] for x in parts])
@@ -306,6 +311,13 @@ def blocks(parts: list[tuple], between: bytes) -> Iterator[tuple]:
     where = np.concatenate([np.arange(len(x[1])) for x in parts])
     columns = [np.concatenate([x[k] for x in parts]) for k in range(1, 8)]
     fresh = np.append(True, keys[order][1:] != keys[order][:-1])
+    single = order[(fresh & np.append(fresh[1:], True)) & ~columns[6][order]]
+    idle = np.zeros(len(order), bool)
+    idle[single] = [alone(parts[w][0][offsets[w][i] : offsets[w][i + 1]], n) for w, i, n in zip(which[single].tolist(), where[single].tolist(), columns[5][single].tolist())]
+    order = order[~idle[order]]
+    if not len(order):
+        return
+    fresh = np.append(True, keys[order][1:] != keys[order][:-1])
     size = np.cumsum(columns[0][order], dtype=np.int64)
     a = 0
     while a < len(order):

@@ -9,7 +9,7 @@ from quarry.llm import common, simhash, windows
 from quarry.llm.embedding_dedup import near_vectors
 from quarry.llm.simhash import fingerprint, near_duplicates, one_of_each
 from quarry.llm.substring_dedup import remove_repeated_windows
-from quarry.llm.suffix_dedup import remove_repeated_bytes, repeated
+from quarry.llm.suffix_dedup import CoverRanks, _words, remove_repeated_bytes, repeated, suffix_order
 
 NO = (1 << 63) - 1
 
@@ -116,6 +116,47 @@ def test_repeated_suffixes_by_brute_force():
         assert repeated(buf, at, length).tolist() == [seen[buf[i : i + length]] > 1 for i in at.tolist()]
 
 
+def test_suffixes_are_in_byte_order():
+    rng = random.Random(4)
+    letters = "the of and to in is that for it was".split()
+    for n in range(12):
+        passage = bytes(rng.randrange(256) for _ in range(500)) if n % 3 else " ".join(rng.choice(letters) for _ in range(120)).encode()
+        buf = b"".join(passage[rng.randrange(200) : rng.randrange(250, 500)] + bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randrange(40))) for _ in range(60)) + b"a" * 400
+        for length in (7, 33, 34, 200, 301):
+            at = np.array(rng.sample(range(len(buf) - length + 1), 3000))
+            order, same = suffix_order(buf, at, length)
+            strings = [buf[i : i + length] for i in at[order].tolist()]
+            assert sorted(order.tolist()) == list(range(len(at))) and strings == sorted(strings)
+            assert same.tolist() == [x == y for x, y in zip(strings, strings[1:])]
+        rank = CoverRanks(_words(buf), len(buf), 200).rank
+        some = [i for i in range(len(buf)) if i % 13 in (0, 1, 3, 9)]
+        by = sorted(some, key=lambda i: buf[i : i + 208])
+        assert all((rank[i] < rank[j]) == (buf[i : i + 208] < buf[j : j + 208]) for i, j in zip(by, by[1:]))
+
+
+def test_pieces_alone_with_equal_windows(spark):
+    """Periodic texts repeat strings within one piece."""
+    rows = [(k, ("abcdefghijklmnopqrstuvwxyz0123456789" * 20)[:k] * n) for k, n in ((1, 205), (1, 199), (3, 80), (37, 6), (150, 3), (184, 3), (185, 3), (230, 2))]
+    rows += [(300, "".join(chr(97 + (i * i) % 23) for i in range(184)) * 2 + "zq"), (301, bytes(33 + (i * 7919) % 90 for i in range(190)).decode() * 3)]
+    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == byte_oracle(rows)
+
+
+def test_spans_are_merged():
+    rng = random.Random(8)
+    spans = np.array([(rng.randrange(5), rng.randrange(2), lo := rng.randrange(1 << 30), lo + rng.randrange(1, 1 << 27)) for _ in range(300)])
+    want = []
+    for i, th, lo, hi in sorted(map(tuple, spans.tolist())):
+        if want and want[-1][:2] == [i, th] and lo <= want[-1][3]:
+            want[-1][3] = max(want[-1][3], hi)
+        else:
+            want.append([i, th, lo, hi])
+    assert windows.merged(spans).tolist() == want
+    assert len(windows.merged(np.empty((0, 4), np.int64))) == 0
+    many = np.column_stack([np.repeat(np.arange(1 << 16), 2), np.zeros(1 << 17, int), np.tile([0, 5], 1 << 16), np.tile([9, 20], 1 << 16)])
+    assert len(windows.merged(many)) == 1 << 16 and (windows.merged(many)[:, 2:] == [0, 20]).all()
+
+
 def test_forest_and_components(spark):
     rng = random.Random(2)
     for n, m in ((50, 30), (400, 380), (300, 2000)):
