@@ -9,6 +9,7 @@ marks, words of speech). A logistic model of these counts gives the score.
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 
@@ -23,9 +24,11 @@ ADDRESS = frozenset("you your you're youre u ur yourself du dich dir ihr tu te t
 MARKS = "\"'“”‘’«»„"
 LOOK_ALIKE = str.maketrans("013457@$", "oieastas")
 EDGE = string.punctuation + MARKS
+#: Terms are learnt from runs of letters and apostrophes, and looked up in those of a word too.
+LETTERS = re.compile(r"(?:[^\W\d_]|')+")
 WINDOW = 6
-#: Most labelled rows of each class that the model is fitted on, and most terms.
-SAMPLE, TERMS = 6000, 200
+#: Most labelled rows of each class that the model is fitted on.
+SAMPLE = 6000
 
 
 class LexiconAutomaton:
@@ -120,7 +123,11 @@ class _Matches(dict):
         m = self.automaton.match(bare)
         if m is None and not bare.isalpha():
             m = self.automaton.match(bare.translate(LOOK_ALIKE))
-        self[word] = m
+            if m is None:  # terms joined to other words or to markup
+                near = [x for run in LETTERS.findall(bare) if len(run) >= 3 and (x := self.automaton.match(run))]
+                m = min(near, key=lambda x: x[1]) if near else None
+        if len(word) <= 256:
+            self[word] = m
         return m
 
 
@@ -151,17 +158,25 @@ def features(text: str, matches: _Matches, weights: list[float]) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last coefficient is the intercept."""
+    """Ridge logistic regression by Newton steps, shortened until the loss falls; the last coefficient is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     weight = np.ones(len(x)) if weight is None else weight
     b = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge * max(1.0, weight.sum()))
     penalty[-1] = 1e-6
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * b * b).sum() / 2)
+
+    now = loss(b)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         grad = x.T @ (weight * (p - y)) + penalty * b
         step = np.linalg.solve((x.T * (weight * p * (1 - p) + 1e-9)) @ x + np.diag(penalty), grad)
-        b -= step
+        while (new := loss(b - step)) > now and np.abs(step).max() > 1e-8:
+            step /= 2
+        b, now = b - step, min(new, now)
         if np.abs(step).max() < 1e-8:
             break
     return b
@@ -179,7 +194,10 @@ def training_sample(labels: DataFrame, column: str) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, float]]:
-    """Terms and weights from (text, y): words with far more toxic documents than chance gives."""
+    """Terms and weights from (text, y): words with far more toxic documents than chance gives.
+
+    A term is in five rows of the sample or more, so its bound bounds their number.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}']+"), lambda w: F.length(w) >= 3))
     n, base = sample.agg(F.count("*"), F.avg("y")).first()
     if not n or not base or base == 1:
@@ -187,13 +205,13 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, float]]:
     table = sample.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("n >= 5")
     rate = F.col("a") / F.col("n")
     z = (rate - base) / F.sqrt(F.lit(base * (1 - base)) / F.col("n"))
-    got = table.select("w", "a", "n", z.alias("z")).where((F.col("z") > 5) & (rate > base + 0.5 * (1 - base))).orderBy(F.desc("z"), "w").limit(TERMS).collect()
+    got = table.select("w", "a", "n", z.alias("z")).where((F.col("z") > 5) & (rate > base + 0.5 * (1 - base))).orderBy(F.desc("z"), "w").collect()
     odds = base / (1 - base)
     return [(r.w, float(np.log((r.a + 0.5) / (r.n - r.a + 0.5) / odds))) for r in got]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_matches) for each document.
+    """(doc_id, held_out, score, predicted) for each document.
 
     The lexicon and the model are learnt from at most SAMPLE labelled rows of each class whose
     crc32(doc_id) mod 4 is not 2; the texts alone are scored. A null text counts as empty, which
