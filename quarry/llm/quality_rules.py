@@ -3,11 +3,12 @@
 Each rule rejects texts whose ratio is over a cutoff. Labelled documents are a holdout: for each
 stratum and rule the cutoffs are tried from the most lenient on, and one is certified if the
 exact binomial probability of so few rejections among the good documents, were the true rate of
-false rejection `risk`, is at most delta. Cutoffs of a rule are tested in this fixed sequence up
-to the first that fails. All strata together are tested like one more stratum, the pool, and delta
-is shared out over these and the rules (Bonferroni), so with probability 1 - alpha no certified
-cutoff rejects more than `risk` of the good documents of its stratum or of the pool. A stratum too
-small to certify any cutoff of a rule backs off to the pool's cutoffs.
+false rejection the rule's share of `risk`, is at most delta. Cutoffs of a rule are tested in this
+fixed sequence up to the first that fails. All strata together are tested like one more stratum,
+the pool, and delta is shared out over these and the rules (Bonferroni). So with probability
+1 - alpha no certified cutoff rejects more than risk / 5 of the good documents of its stratum or
+of the pool, and all five rules together no more than `risk`. A stratum too small to certify any
+cutoff of a rule backs off to the pool's cutoffs; then the bound is the pool's.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as T
-from quarry.llm.common import cut
+from quarry.llm.common import column, cut
 
 SYMBOLS = "#*$%&|<>"
 #: Rules: name, ratio, cutoffs from lenient to strict.
@@ -83,7 +84,7 @@ def stratum(lang: Column) -> Column:
 
 
 def certified(labelled: DataFrame, risk: float, alpha: float) -> dict[tuple[str, str], float]:
-    """A certified cutoff for each (stratum, rule) that has a useful one.
+    """A certified cutoff for each (stratum, rule) that has a useful one. risk is that of one rule.
 
     labelled: measured documents with stratum and good (boolean). Of the certified cutoffs the
     one is taken whose share of rejected bad documents most exceeds ten times that of good ones.
@@ -116,22 +117,24 @@ def certified(labelled: DataFrame, risk: float, alpha: float) -> dict[tuple[str,
     return out
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", risk: float = 0.004, alpha: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", risk: float = 0.02, alpha: float = 0.05) -> DataFrame:
     """(doc_id, the measures, base_failed, kept, th) for each document.
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. kept is false
     then, or if a certified cutoff of the document's stratum is exceeded. labels (doc_id,
     quality): rows with quality 1 are the good holdout, those with 0 the bad one; null ids and
-    labels are left out, and of repeated ids each row counts. A null text has no words; a null language is in the stratum
-    "other". A stratum without good labels, or with too few in all strata together, has no cutoff, and only
-    the base rule rejects. Repeated
-    rows each give a row. th tells rows apart by text and language. Other columns are ignored.
+    labels are left out, and of repeated ids each row counts. With probability 1 - alpha the
+    cutoffs of all rules together reject at most `risk` of a stratum's good documents that pass
+    the base rule, or of the pool's where a stratum uses its cutoffs. A null text has no words; a
+    null language is in the stratum "other". A stratum without good labels, or with too few in
+    all strata together, has no cutoff, and only the base rule rejects. Repeated rows each give a
+    row. th tells rows apart by text and language. Other columns are ignored.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"), F.xxhash64(text_col, lang_col).alias("th"))
+    source = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("__text"), column(lang_col).alias("__lang"), F.xxhash64(text_col, lang_col).alias("th"))
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATS * F.col("n_words"))
     rows = cut(measured(source, "__text").withColumns({"stratum": stratum(F.col("__lang")), "base_failed": base}).drop("__text", "__lang"))
     marks = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", (F.col("quality") == 1).alias("good"))
-    limits = certified(rows.where("not base_failed").join(marks, "doc_id"), risk, alpha)
+    limits = certified(rows.where("not base_failed").join(marks, "doc_id"), risk / len(RULES), alpha)
     over = F.lit(False)
     for (where, rule), cutoff in sorted(limits.items()):
         ratio = next(r for name, r, _ in RULES if name == rule)

@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, quality_rules, queries, token_counts, toxicity
-from quarry.llm.quality_classifier import co_train, quality_scores
+from quarry.llm import mixing, packing, quality_classifier, quality_rules, queries, token_counts, toxicity
+from quarry.llm.quality_classifier import quality_scores
 
 VOCABULARY = queries.BYTE_BPE
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,6 +31,27 @@ def test_longest_match():
         assert automaton.count(word) == n
 
 
+def test_token_counts_by_brute_force(spark):
+    """The registered query against greedy cutting, word by word."""
+    pieces = set(token_counts.byte_vocabulary(VOCABULARY))
+    longest, known = max(map(len, pieces)), {}
+
+    def cut(word):
+        n, at = 0, 0
+        while at < len(word):
+            at += next(k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces)
+            n += 1
+        return n
+
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in queries.queries()["op5_token_counts"](spark, d).collect():
+        words = texts[r.doc_id].encode().split()
+        for w in set(words) - known.keys():
+            known[w] = cut(b" " + w)
+        assert (r.n_bytes, r.n_words, r.n_tokens) == (len(texts[r.doc_id].encode()), len(words), sum(known[w] for w in words))
+
+
 def test_token_counts(odd_docs, no_docs):
     got = token_counts.token_counts(odd_docs, VOCABULARY)
     rows = [(r.doc_id, r.n_words, r.n_tokens) for r in got.collect()]
@@ -70,7 +91,7 @@ def test_rounds_pack_about_as_best_fit_decreasing(spark):
     assert packing.placed_runs(spark, {}, 1024) == []
 
 
-LONG_RUNS = [f"a{c * n}b" for c, n in ((" ", 1_200_000), ("\n", 1_100_000), ("x", 300_000), ("ab ", 100_000), (" \t", 300), ("é", 257))]
+LONG_RUNS = [f"a{c * n}b" for c, n in ((" ", 1_200_000), ("\n", 1_100_000), ("x", 300_000), ("x", 4000), ("ab ", 100_000), (" \t", 300), (" ", 255), ("é", 257), ("!", 5000))]
 TRICKY = ["a  b\n\nc   d \n e", "  lead", "tail  ", "don't we'll\t\tx \x1c y", "é ñ  ß 12 3.4!! ##", "<|endoftext|> x", "a  b  c ​ d", "", " ", "\n"]
 
 
@@ -271,6 +292,36 @@ def test_lexicon_automaton():
             assert got[1] == min(near) == distance(word, terms[got[0]])
 
 
+def test_toxicity_features_by_brute_force():
+    rng = random.Random(14)
+    terms, weights = ["idiot", "scum", "moron", "trash"], [3.0, 2.0, 2.5, 1.0]
+    matches = toxicity._Matches(toxicity.LexiconAutomaton(terms))
+    edge = toxicity.EDGE
+
+    def nearest(token):
+        """(edits, term) of a whole token, its look-alike or one of its runs of letters, in this order."""
+        bare = token.strip(edge).lower()
+        best = lambda w: min(((distance(w, t), k) for k, t in enumerate(terms) if distance(w, t) <= (1 if len(t) >= 5 else 0)), default=None)
+        got = best(bare)
+        if got is None and not bare.isalpha():
+            got = best(bare.translate(toxicity.LOOK_ALIKE))
+            if got is None:
+                got = min((x for run in re.findall(r"[a-z']+", bare) if len(run) >= 3 and (x := best(run))), key=lambda x: x[0], default=None)
+        return got
+
+    pool = ["idiot", "idot", "IDIOT!", "1diot", "you/idiot", "idiot...loser", "scum", "scam", "morons", "trash-face", "\"moron\"", "you", "said", "he", "«idiot»", "the", "wrote", "x", "...", "i", "ab/cd"]
+    for _ in range(300):
+        words = [rng.choice(pool) for _ in range(rng.randrange(0, 25))]
+        hits = [(i, *nearest(w)) for i, w in enumerate(words) if nearest(w)]
+        got = toxicity.features(" ".join(words), matches, weights)
+        assert got[0] == pytest.approx(math.log1p(len(words)))
+        exact = [t for _, e, t in hits if e == 0]
+        w = [weights[t] * (1 if e == 0 else 0.5) for _, e, t in hits]
+        assert got[1:9] == pytest.approx([float(bool(exact)), math.log1p(len(exact)), float(len(hits) > len(exact)), math.log1p(len(hits) - len(exact)), max(w, default=0), math.log1p(sum(w)), 30 * len(exact) / (len(words) + 30) if hits else 0, len(set(exact))])
+        spoken = sum(any(x.strip(edge).lower() in toxicity.SPEECH for x in words[max(0, i - 6) : i + 7]) for i, *_ in hits)
+        assert got[10] == pytest.approx(spoken / len(hits) if hits else 0)
+
+
 def labelled(spark, n=1500):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9)))
@@ -305,17 +356,80 @@ def test_quality_classifier(spark, odd_docs, no_docs):
     assert sum(r.kept == truth[r.doc_id] for r in held) > 0.9 * len(held)
     assert quality_scores(odd_docs, labels).count() == odd_docs.count()
     assert all(r.kept for r in quality_scores(odd_docs, labels.limit(0)).collect())
+    assert not any(r.kept for r in quality_scores(odd_docs, labels.withColumn("quality", F.lit(0))).collect())
     assert quality_scores(no_docs, labels).collect() == []
 
 
-def test_co_training_uses_the_pool():
-    rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 400)
-    view = lambda: np.column_stack([y * 2 - 1 + rng.normal(size=400) * 0.7, rng.normal(size=400)])
-    views = [view(), view()]
-    models = co_train([v[:40] for v in views], y[:40], [v[40:300] for v in views])
-    for v, m in zip(views, models):
-        assert ((v[300:] @ m[:-1] + m[-1] > 0) == y[300:]).mean() > 0.85
+def two_views(spark, n, labelled, seed):
+    """Documents whose words and whose source each tell good from bad, most of the time; labels for few."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for k in range(n):
+        good = rng.random() < 0.6
+        lean = 0.62 if good else 0.38
+        words = [rng.choice(("ga", "gb", "gc", "gd")) + str(rng.randrange(60)) if rng.random() < lean else rng.choice(("ba", "bb", "bc", "bd")) + str(rng.randrange(60)) for _ in range(40)]
+        source = rng.randrange(0, 20) if (rng.random() < 0.98) == good else rng.randrange(20, 40)
+        rows.append((k, " ".join(words), "en", f"s{source}", 200))
+        if k < labelled:
+            labels.append((k, int(good)))
+        else:
+            labels.append((k, None))
+        rows[-1] += (int(good),)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, truth int"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def area(pairs):
+    """Share of (good, bad) pairs that the score puts in order."""
+    good, bad = [p for p, y in pairs if y], [p for p, y in pairs if not y]
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+
+
+def test_co_training_adds_to_the_labels(spark):
+    docs, labels = two_views(spark, 2400, 500, 5)
+    truth = {r.doc_id: r.truth for r in docs.select("doc_id", "truth").collect()}
+    alone, both = ({r.doc_id: r.text_score for r in quality_scores(docs, labels, rounds=n).collect()} for n in (0, 3))
+    test = [k for k in truth if k >= 500 and zlib.crc32(str(k).encode()) % 4 == 2]
+    before, after = (area([(got[k], truth[k]) for k in test]) for got in (alone, both))
+    assert after > before + 0.01 and after > 0.9
+
+
+def test_a_dozen_labels_are_not_a_constant(spark):
+    docs, _ = two_views(spark, 200, 0, 6)
+    labels = docs.where("doc_id < 16").select("doc_id", F.col("truth").alias("quality"))
+    got = quality_scores(docs, labels).collect()
+    truth = {r.doc_id: r.truth for r in docs.select("doc_id", "truth").collect()}
+    assert len({round(r.score, 6) for r in got}) > 20
+    assert area([(r.score, truth[r.doc_id]) for r in got if r.doc_id >= 16]) > 0.6
+
+
+def test_counts_of_the_views_by_brute_force(spark):
+    docs, _ = two_views(spark, 60, 0, 7)
+    rows = quality_classifier.features(docs, "doc_id", "text", "source", "lang", "n_chars").withColumns({"y": F.when(F.col("doc_id") < 30, (F.col("doc_id") % 2).cast("int")), "calibrates": F.col("doc_id") % 3 == 0})
+    edges = [np.array([0.01, 0.5, 3.0])] * (quality_classifier.N_SURFACE + 1)
+    got = quality_classifier._tally(rows, edges, None, True)
+    want, n_cells = collections.Counter(), len(quality_classifier.CUTS) + 1
+    for r in docs.collect():
+        if r.doc_id >= 30 or r.doc_id % 3 == 0:
+            continue
+        at = r.doc_id % 2 * (quality_classifier.TEXT.size // 2)
+        want[at] += 1
+        for k, x in enumerate(quality_classifier.surface(r.text, r.text.split())):
+            want[at + 1 + k * n_cells + sum(x >= e for e in edges[0])] += 1
+        for bit in {zlib.crc32(w.encode()) % quality_classifier.BITS for w in r.text.split()}:
+            want[at + 1 + quality_classifier.TEXT.cells + bit] += 1
+    assert {k: v for k, v in enumerate(got[: quality_classifier.TEXT.size]) if v} == want
+    assert got[quality_classifier.TEXT.size] == want[0]
+
+
+def test_labels_are_given_where_they_are_mostly_right():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 3000)
+    p = np.clip(y * 0.5 + rng.normal(0.25, 0.15, 3000), 0, 1)
+    up, down = quality_classifier.sure(p, y, np.ones(3000))
+    assert (y[p >= up] == 1).mean() >= 0.95 and (y[p <= down] == 0).mean() >= 0.95 and (p >= up).sum() > 500 < (p <= down).sum()
+    assert quality_classifier.sure(rng.random(3000), y, np.ones(3000)) == (2.0, -1.0)
+    text, meta = quality_classifier.exchanged(np.array([0.1, 0.5, 0.9]), np.array([0.9, 0.5, 0.9]), np.array([True, True, False]), [(0.8, 0.2), (0.8, 0.2)])
+    assert text.tolist() == [1, -1, -1] and meta.tolist() == [0, -1, -1]
 
 
 def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
