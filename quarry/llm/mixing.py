@@ -18,15 +18,22 @@ from quarry.llm.common import column, cut, own_names, partitions
 #: Words in a block, about how many in a shard, and equal rows that are dealt at once.
 BLOCK, SHARD, EQUAL = 16, 1 << 18, 100_000
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
-#: Sources up to which their table is broadcast; beyond, the join is salted.
+#: Rows up to which a table is broadcast or kept in one partition; beyond, joins are salted.
 FEW, SALTS = 10_000, 64
 #: Divisors tried at once in a pass, and passes at most.
-TRIED, PASSES = 48, 8
+TRIED, PASSES = 24, 10
 
 
-def numbered(df: DataFrame, *keys: Column) -> DataFrame:
+def gathered(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df, cut, and whether it has few rows: then in one partition, so that nothing is shuffled to group or join them."""
+    df = cut(df)
+    few = df.count() <= FEW
+    return (df.coalesce(1) if few else df), few
+
+
+def numbered(df: DataFrame, *keys: Column, parts: int) -> DataFrame:
     """df with n: each row's place by the keys, from 0. Rows are ranked in their ranges, then ranges added up."""
-    spread = cut(df.repartitionByRange(partitions(df.sparkSession), *keys).withColumn("__p", F.spark_partition_id()))
+    spread = cut(df.repartitionByRange(parts, *keys).withColumn("__p", F.spark_partition_id()))
     sizes = spread.groupBy("__p").agg(F.count("*").alias("__c"))  # a row for each partition
     before = F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__before"))
@@ -40,7 +47,8 @@ def with_targets(sources: DataFrame) -> DataFrame:
     Targets share all words by weight; one over MOST times its source's size stops there, and
     the excess is shared again by weight among the others until none is over.
     """
-    place = numbered(sources, F.col("source").asc_nulls_last())
+    sources, few = gathered(sources)
+    place = numbered(sources, F.col("source").asc_nulls_last(), parts=1 if few else partitions(sources.sparkSession))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("n") % len(WEIGHTS) + 1).cast("int"))
     table = cut(place.withColumn("w", weight).drop("n"))
     total, level, capped = float(table.agg(F.sum("source_size")).first()[0] or 0), None, -1
@@ -69,11 +77,13 @@ def _seats(divisor: Column) -> Column:
 def apportioned(units: DataFrame, houses: DataFrame) -> DataFrame:
     """(key, unit, quota): the seats of each key's house by the highest quotients votes / (2 k + 1).
 
-    units: (key, unit, votes, most), cut, a unit taking `most` seats at most; houses: (key, house).
+    units: (key, unit, votes, most), a unit taking `most` seats at most; houses: (key, house).
     Equal quotients are served by unit. Each pass tries divisors for all keys at once and narrows
     the range in which the last seat's is; the few quotients in the range are then ranked, over
     tasks. No task gets a key's units together.
     """
+    units, few = gathered(units)
+    houses, _ = gathered(houses)
     by = F.xxhash64("unit")
     table = units.groupBy("key").agg(F.sum("votes").alias("votes"), F.count("*").alias("n"), F.max("votes").alias("top")).join(houses, "key")
     low = F.least(F.col("votes") / (F.col("house") + F.col("n") / 2 + 1), F.lit(0.5))  # all seats or more are won
@@ -94,7 +104,7 @@ def apportioned(units: DataFrame, houses: DataFrame) -> DataFrame:
     need = both.groupBy("key", "house").agg(F.sum("sure").alias("given")).select("key", (F.col("house") - F.col("given")).alias("need"))
     seats = both.where("upto > sure").withColumn("seat", F.explode(F.sequence("sure", F.col("upto") - 1)))
     quotient = (F.col("votes") / (2 * F.col("seat") + 1)).alias("quotient")
-    placed = numbered(seats.select("key", "unit", "seat", quotient), F.col("key"), F.col("quotient").desc(), F.col("unit"), F.col("seat"))
+    placed = numbered(seats.select("key", "unit", "seat", quotient), F.col("key"), F.col("quotient").desc(), F.col("unit"), F.col("seat"), parts=1 if few else partitions(units.sparkSession))
     first = cut(placed.groupBy("key").agg(F.min("n").alias("first")).join(need, "key"))
     won = _beside(placed, first, "key", by).where(F.col("n") - F.col("first") < F.col("need")).groupBy("key", "unit").agg(F.count("*").alias("more"))
     mine = units.select("key", "unit").join(both.select("key", "unit", "sure"), ["key", "unit"], "left").join(won, ["key", "unit"], "left")
@@ -135,13 +145,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.xxhash64(F.lit(seed), "doc_id", "th", "nth").alias("h"),
         )
     )
-    sources = cut(with_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sources, _ = gathered(with_targets(sizes).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))))
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"))
     house = total.select(F.lit("all").alias("key"), F.floor((F.col("total") + BLOCK // 2) / BLOCK).alias("house"))
     blocks = apportioned(sources.select(F.lit("all").alias("key"), F.col("key").alias("unit"), F.col("target").alias("votes"), _most(F.col("source_size")).alias("most")), house)
     n_shards = F.greatest(F.ceil((F.col("source_size") + F.col("n_docs")) / SHARD), F.lit(1)).cast("long")
     dealt = _beside(rows, sources.select("key", "source_size", "target", n_shards.alias("n_shards")), "key", F.col("h")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), "n_shards"))
-    shards = cut(dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size")))
+    shards, _ = gathered(dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size")))
     votes = shards.select("key", F.col("shard").alias("unit"), F.col("shard_size").cast("double").alias("votes"), _most(F.col("shard_size")).alias("most"))
     quotas = apportioned(votes, blocks.select(F.col("unit").alias("key"), F.col("quota").alias("house")))
     quotas = shards.join(quotas.withColumnRenamed("unit", "shard"), ["key", "shard"])
