@@ -132,15 +132,14 @@ def placed_runs(spark: SparkSession, counts: dict[int, int], capacity: int) -> l
 
 
 class _Encoder:
-    """ids of whole texts by the byte-level BPE of a tokenizer file; ids of words are kept for a while.
+    """ids of whole texts by the byte-level BPE of a tokenizer file.
 
-    Every pre-token that holds a space after a character that isn't white space begins with it,
-    so texts part there without changing ids. Short words that aren't known yet go through a
-    faster reader of the same vocabulary if ids are in the order of merges; all else, long runs
-    of blanks too, goes through the tokenizer itself.
+    A faster reader of the same vocabulary does texts without special tokens and without very
+    long runs (its pattern can't take a million blanks), if ids are in the order of merges and
+    the file splits texts by the usual pattern. All others go through the tokenizer itself.
     """
 
-    LIMIT, LONG = 200_000, 256
+    RUNS = re.compile(r"\s{256}|\S{4096}")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -150,9 +149,8 @@ class _Encoder:
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.parts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE"
-        self.encode = self._by_ranks(model, added) if self.parts else self._plain
-        self.rest: dict[str, bytes] = {}
+        usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE"
+        self.fast = self._by_ranks(model, added) if usual else self._plain
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -170,30 +168,10 @@ class _Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _ids(self, text: str) -> bytes:
-        return np.array((self.encode if len(text) <= self.LONG else self._plain)(text), "<u4").tobytes()
-
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if not self.parts or (self.special and self.special.search(text)):
-            return np.array(self._plain(text), "<u4").tobytes()
-        parts = re.split(r"(?<=\S) ", text) if re.search(r"\s ", text) else text.split(" ")
-        start, *words = parts
-        rest = self.rest
-        try:
-            return self._ids(start) + b"".join([rest[w] for w in words])
-        except KeyError:
-            if len(rest) > self.LIMIT:
-                rest.clear()
-            out = [self._ids(start)]
-            for w in words:
-                ids = rest.get(w)
-                if ids is None:
-                    ids = self._ids(" " + w)
-                    if len(w) <= self.LONG:
-                        rest[w] = ids
-                out.append(ids)
-            return b"".join(out)
+        odd = self.RUNS.search(text) or (self.special and self.special.search(text))
+        return np.array((self._plain if odd else self.fast)(text), "<u4").tobytes()
 
 
 _encoders: dict[str, _Encoder] = {}
