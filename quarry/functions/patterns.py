@@ -27,8 +27,12 @@ CALL_NAME = r"^[0-9A-Za-z_]+"
 # Directories never entered, extensions read and never read.
 SKIPPED_DIRS = (".git", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".next", "out", "coverage", ".cache")
 ALLOWED = (
-    ".go .ts .tsx .js .jsx .mjs .cjs .py .pyw .rs .java .kt .kts .c .h .cpp .cc .cxx .hpp .cs .rb .php .swift .scala .sc .vue .svelte .sh .bash .zsh .sql .proto"
-).split()
+    ".go", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".pyw", ".rs", ".java", ".kt",
+    ".kts", ".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".cs", ".rb", ".php", ".swift", ".scala",
+    ".sc", ".vue", ".svelte", ".sh", ".bash", ".zsh", ".sql", ".proto",
+)
 DENIED = (
-    ".png .jpg .jpeg .gif .webp .ico .bmp .pdf .zip .gz .tar .bz2 .7z .rar .bin .exe .dll .so .dylib .a .o .obj .woff .woff2 .ttf .eot .mp3 .mp4 .wav .avi .mov .wasm .pyc .class .jar"
-).split()
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".bmp", ".pdf", ".zip", ".gz", ".tar", ".bz2",
+    ".7z", ".rar", ".bin", ".exe", ".dll", ".so", ".dylib", ".a", ".o", ".obj", ".woff", ".woff2",
+    ".ttf", ".eot", ".mp3", ".mp4", ".wav", ".avi", ".mov", ".wasm", ".pyc", ".class", ".jar",
+)

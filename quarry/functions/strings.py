@@ -22,10 +22,6 @@ def contains_folded(c: Column, needle: str) -> Column:
     return F.contains(ascii_fold(c), F.lit(needle.translate(str.maketrans(UPPER, LOWER))))
 
 
-def like_escape(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-
-
 def under_dir(path: Column, directory: str) -> Column:
     """The directory itself (exactly), or below it (A-Z folded); an empty one holds all."""
     d = directory.strip().strip("/")

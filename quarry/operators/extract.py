@@ -37,16 +37,41 @@ def marked_lines(lines: DataFrame) -> DataFrame:
     return lines.where(supported(F.col("file_path"))).withColumn("comment", note).withColumn("def", F.when(F.col("comment").isNull(), _definition(F.col("text"), extension(F.col("file_path")))))
 
 
-def symbols(lines: DataFrame) -> DataFrame:
-    """(file_path, name, kind, scope, start_line): one for each line that defines something.
+def annotated(lines: DataFrame) -> DataFrame:
+    """Lines of supported files with def and scope where they define something, own, and n_lines.
 
-    scope is the last // comment since the previous symbol of the file, or ''.
+    scope is the last // comment since the previous symbol of the file, or ''. own is the symbol
+    (name, kind, scope, start_line) that the line belongs to: the last one defined up to it, as
+    symbols found by lines never nest. All windows share one partitioning and one order.
     """
-    before = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = marked_lines(lines).withColumn("g", F.coalesce(F.sum(F.col("def").isNotNull().cast("int")).over(before), F.lit(0)))
-    within = Window.partitionBy("file_path", "g").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    scoped = grouped.withColumn("scope", F.coalesce(F.last("comment", ignorenulls=True).over(within), F.lit("")))
-    return scoped.where("def is not null").select("file_path", F.col("def.name").alias("name"), F.col("def.kind").alias("kind"), "scope", F.col("line").alias("start_line"))
+    by_line = Window.partitionBy("file_path").orderBy("line")
+    before, upto = by_line.rowsBetween(Window.unboundedPreceding, -1), by_line.rowsBetween(Window.unboundedPreceding, 0)
+    note = F.last(F.when(F.col("comment").isNotNull(), F.struct("line", "comment")), ignorenulls=True).over(before)
+    previous = F.last(F.when(F.col("def").isNotNull(), F.col("line")), ignorenulls=True).over(before)
+    wide = marked_lines(lines).withColumns({"note": note, "previous": previous, "n_lines": F.max("line").over(Window.partitionBy("file_path"))})
+    scope = F.when(F.col("note.line") > F.coalesce("previous", F.lit(0)), F.col("note.comment")).otherwise("")
+    wide = wide.withColumn("scope", scope).drop("note", "previous", "comment")
+    symbol = F.when(F.col("def").isNotNull(), F.struct(F.col("def.name").alias("name"), F.col("def.kind").alias("kind"), "scope", F.col("line").alias("start_line")))
+    return wide.withColumn("own", F.last(symbol, ignorenulls=True).over(upto))
+
+
+def symbols(lines: DataFrame) -> DataFrame:
+    """(file_path, name, kind, scope, start_line): one for each line that defines something."""
+    return annotated(lines).where("def is not null").select("file_path", "own.name", "own.kind", "own.scope", "own.start_line")
+
+
+def symbols_with_ends(lines: DataFrame) -> DataFrame:
+    """symbols() with end_line, up to the next symbol or the file's end."""
+    found = annotated(lines).where("def is not null").select("file_path", "own.name", "own.kind", "own.scope", "own.start_line", "n_lines")
+    after = F.lead("start_line").over(Window.partitionBy("file_path").orderBy("start_line"))
+    return found.withColumn("end_line", F.greatest("start_line", F.coalesce(after - 1, "n_lines"))).drop("n_lines")
+
+
+def enclosed_calls(lines: DataFrame) -> DataFrame:
+    """call_sites() with the name, kind and scope of the symbol around each, or ''; no join."""
+    part = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit("")).alias(f"enclosing_{c}")
+    own = annotated(lines).select("file_path", "line", "text", part("name"), part("kind"), part("scope"))
+    return call_sites(own, keep=("enclosing_name", "enclosing_kind", "enclosing_scope"))
 
 
 def end_lines(symbols_df: DataFrame, counts: DataFrame) -> DataFrame:
@@ -58,16 +83,23 @@ def end_lines(symbols_df: DataFrame, counts: DataFrame) -> DataFrame:
     return both.withColumn("end_line", F.when(known >= F.col("start_line"), known).otherwise(derived)).drop("n_lines")
 
 
-def call_sites(lines: DataFrame, every_file: bool = False) -> DataFrame:
-    """(file_path, callee_name, line, col): names before an opening bracket; col is the byte from 1."""
+def call_sites(lines: DataFrame, every_file: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(file_path, callee_name, line, col, any to keep): names before an opening bracket; col is the byte from 1."""
     source = lines if every_file else lines.where(supported(F.col("file_path")))
-    found = source.select("file_path", "line", F.split("text", P.CALL, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(P.CALL), 0).alias("calls"))
+    some = source.where(F.contains("text", F.lit("(")))
+    found = some.select("file_path", "line", *keep, F.split("text", P.CALL, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(P.CALL), 0).alias("calls"))
     gap = F.transform("gaps", lambda x: F.octet_length(x))
     size = F.transform("calls", lambda x: F.octet_length(x))
-    each = found.withColumns({"gap": gap, "size": size}).where(F.size("calls") > 0).select("file_path", "line", "gap", "size", F.posexplode("calls").alias("k", "call"))
+    each = found.withColumns({"gap": gap, "size": size}).where(F.size("calls") > 0).select("file_path", "line", *keep, "gap", "size", F.posexplode("calls").alias("k", "call"))
     total = lambda array, n: F.aggregate(F.slice(array, 1, n), F.lit(0), lambda a, x: a + x)
     col = 1 + total("gap", F.col("k") + 1) + total("size", F.col("k"))
-    return each.select("file_path", F.regexp_extract("call", P.CALL_NAME, 0).alias("callee_name"), "line", col.alias("col"))
+    return each.select("file_path", F.regexp_extract("call", P.CALL_NAME, 0).alias("callee_name"), "line", col.alias("col"), *keep)
+
+
+def below(path: Column, root: str) -> Column:
+    """The path without the root before it, whatever characters that has."""
+    start = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(start)), F.substring(path, F.lit(len(start) + 1), F.length(path))).otherwise(path)
 
 
 def ctags(json_lines: DataFrame, root: str) -> DataFrame:
@@ -75,7 +107,7 @@ def ctags(json_lines: DataFrame, root: str) -> DataFrame:
     get = lambda key: F.get_json_object("value", f"$.{key}")
     text = lambda *keys: reduce(lambda a, k: F.coalesce(a, F.nullif(get(k), F.lit(""))), keys[1:], F.nullif(get(keys[0]), F.lit("")))
     number = lambda *keys: F.coalesce(*[F.when(get(k).try_cast("int") > 0, get(k).try_cast("int")) for k in keys])
-    path = F.regexp_replace(get("path"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    path = below(get("path"), root)
     rows = json_lines.where(F.coalesce(get("_type"), F.lit("")) != "ptag").select(
         text("name").alias("name"), path.alias("file_path"), F.coalesce(text("kind", "K"), F.lit("")).alias("kind"),
         F.coalesce(text("scope", "S"), F.lit("")).alias("scope"), number("line", "n").alias("start_line"), F.coalesce(number("end", "e"), F.lit(0)).alias("end_line"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.strings import symbol_id
@@ -50,12 +50,8 @@ def diff(tree: DataFrame, index: DataFrame) -> DataFrame:
 
 def replace_files(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
     """old without the rows of changed file_paths, with new's."""
-    return old.join(changed.select("file_path").distinct(), "file_path", "left_anti").unionByName(new)
+    return remove_files(old, changed).unionByName(new)
 
 
-def remove_files(old: DataFrame, gone: DataFrame) -> DataFrame:
-    return old.join(gone.select("file_path").distinct(), "file_path", "left_anti")
-
-
-def top_per(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+def remove_files(old: DataFrame, gone: DataFrame, key: str = "file_path") -> DataFrame:
+    return old.join(gone.select(key).distinct(), key, "left_anti")

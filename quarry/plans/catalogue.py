@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import strings as S
+from quarry.index import CodeIndex, to_json
 from quarry.operators import extract, ignore, lines, relate, search, syntax
+from quarry.operators.store import Snapshots
+from quarry.session import work_folder
 from quarry.sources import corpus as C
+from quarry.sources import tree
 from quarry.streaming import feed
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,8 +42,51 @@ def oracle_sql() -> dict[str, str]:
 def _src(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, symbols, calls with their enclosing symbols) of the synthetic tree."""
     every = C.source_lines(spark, d)
-    symbols = extract.end_lines(extract.symbols(every), every.groupBy("file_path").agg(F.count("*").cast("int").alias("n_lines")))
-    return every, symbols, relate.enclose(extract.call_sites(every), symbols)
+    return every, extract.symbols_with_ends(every), extract.enclosed_calls(every)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, d: str, name: str, build: Callable[[Snapshots], object]) -> Snapshots:
+    """An index in the shared folder, built by the first query of the session that asks for it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = work_folder(spark, name)
+        build(Snapshots(spark, path))
+        _STORED[key] = path
+    return Snapshots(spark, _STORED[key])
+
+
+def _text_symbols(spark: SparkSession, d: str) -> DataFrame:
+    unset = {c: F.lit(None).cast("long") for c in ("start_byte", "end_byte")}
+    return C.texts(spark, d).drop("doc_id").withColumns({"end_line": F.lit(1)} | unset)
+
+
+def _no_calls(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "callee_name string, file_path string, line int, col int, enclosing_name string, enclosing_kind string, enclosing_scope string")
+
+
+def _meta_of(symbols: DataFrame) -> DataFrame:
+    return symbols.select(F.col("file_path").alias("path"), F.lit(0).alias("mtime_ns"), F.octet_length(F.coalesce("scope", F.lit(""))).alias("size"))
+
+
+def _texts_index(spark: SparkSession, d: str) -> Snapshots:
+    """The documents as a stored index with postings."""
+    symbols = _text_symbols(spark, d)
+    return _stored(spark, d, "texts", lambda store: store.apply(_meta_of(symbols), symbols, _no_calls(spark), indexer="text"))
+
+
+def _tree_files(spark: SparkSession, d: str) -> DataFrame:
+    """The synthetic source tree as files (path, mtime_ns, size, text)."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n")
+    whole = C.source_lines(spark, d).groupBy(F.col("file_path").alias("path")).agg(text.alias("text"))
+    return whole.select("path", F.lit(0).cast("long").alias("mtime_ns"), F.octet_length("text").cast("long").alias("size"), "text")
+
+
+def _source_index(spark: SparkSession, d: str, name: str = "source") -> Snapshots:
+    """The synthetic source tree as a stored index."""
+    return _stored(spark, d, name, lambda store: CodeIndex(spark, store.path).apply(_tree_files(spark, d)))
 
 
 IGNORED = ignore.parse("# generated\n*.test.js\n!f7*.test.js\n/docs/\nlib/*/\n", "") + ignore.parse("f1?.go\n", "src", 10)
@@ -101,6 +149,72 @@ def s10(spark, d):
     return extract.ctags(p.select(F.to_json(tag).alias("value")), "/repo")
 
 
+@query(
+    "S11_tolerant_getters",
+    "SELECT p_name AS name, 'a/'||p_partkey||'.go' AS file_path, CASE WHEN p_partkey % 4 = 0 THEN 'K'||p_size ELSE '' END AS kind, '' AS scope, CAST(p_size AS INT) AS start_line, CAST(CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE 0 END AS INT) AS end_line FROM part WHERE p_partkey % 7 <> 0 AND p_size > 0",
+)
+def s11(spark, d):
+    """Numbers as strings, empty strings and words where numbers should be."""
+    p, n = C.table(spark, d, "part"), F.col("p_partkey")
+    tag = F.struct(
+        F.col("p_name").alias("name"), F.concat(F.lit("/r+(x)/a/"), "p_partkey", F.lit(".go")).alias("path"), F.when(n % 7 == 0, "none").otherwise(F.col("p_size").cast("string")).alias("line"),
+        F.when(n % 2 == 0, "").alias("kind"), F.when(n % 4 == 0, F.concat(F.lit("K"), "p_size")).alias("K"), F.when(n % 5 == 0, (F.col("p_size") + 1).cast("string")).otherwise("end").alias("end"),
+    )
+    return extract.ctags(p.select(F.to_json(tag).alias("value")), "/r+(x)")
+
+
+@query("S12_paths", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'x/'||p_partkey WHEN 1 THEN '/other/'||p_partkey ELSE 'rel/'||p_partkey END AS path FROM part")
+def s12(spark, d):
+    p, n = C.table(spark, d, "part"), F.col("p_partkey")
+    path = F.concat(F.when(n % 3 == 0, "/a[b]+c/x/").when(n % 3 == 1, "/other/").otherwise("rel/"), "p_partkey")
+    return p.select("p_partkey", extract.below(path, "/a[b]+c/").alias("path"))
+
+
+@query(
+    "S4_ignore_parse",
+    "SELECT * FROM (VALUES (0, '', false, false, false, 'a'), (1, '', true, false, false, 'b*'), (2, '', false, true, false, 'dir'), (3, '', false, false, true, '/top'), (4, '', false, false, false, '#x')) v(ord, scope, negated, dir_only, anchored, line)",
+)
+def s4(spark, d):
+    found = ignore.parse("# note\n\n  a  \n!b*\ndir/\n/top\n\\#x\n!\n")
+    shown = {"^a$": "a", "^b[^/]*$": "b*", "^dir$": "dir", "^top$": "/top", "^\\#x$": "#x"}
+    return spark.createDataFrame([(p.ord, p.scope, p.negated, p.dir_only, p.anchored, shown[p.regex]) for p in found], "ord int, scope string, negated boolean, dir_only boolean, anchored boolean, line string")
+
+
+#: Ignore files of the written tree: the root's, a nested one, and .git/info/exclude.
+RULES = {".gitignore": "# generated\n*.test.js\n!f7*.test.js\nlib/*/\n", "src/.gitignore": "f1?.go\n", "docs/.gitignore": "*.go\n!f*3.go\n", ".git/info/exclude": "/docs/f2*\n"}
+
+
+def _written_tree(spark: SparkSession, d: str) -> str:
+    """The paths of part as files on disk, each of as many bytes as its path has letters."""
+    key = (spark.sparkContext.applicationId, d, "tree")
+    if key not in _STORED:
+        root = work_folder(spark, "tree").removeprefix("file:")
+        for path, text in [*((r.path, r.path) for r in C.tree_paths(spark, d).collect()), *RULES.items()]:  # a file system's worth
+            os.makedirs(os.path.dirname(os.path.join(root, path)), exist_ok=True)
+            with open(os.path.join(root, path), "w") as f:
+                f.write(text)
+        _STORED[key] = root
+    return _STORED[key]
+
+
+@query(
+    "S1_crawl",
+    f"""WITH {C.TREE_PATHS}, v AS (SELECT path, regexp_extract(path, '[^/]*$') AS base FROM paths)
+SELECT path, CAST(length(path) AS BIGINT) AS size FROM v WHERE NOT regexp_matches(path, '(^|/)(node_modules|vendor)/') AND lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN ('.go', '.py', '.ts', '.js')
+AND NOT regexp_matches(path, '^lib/[^/]*/') AND NOT (base LIKE '%.test.js' AND base NOT LIKE 'f7%') AND NOT (path LIKE 'src/%' AND regexp_matches(base, '^f1.\\.go$'))
+AND NOT (path LIKE 'docs/%' AND base LIKE '%.go' AND NOT regexp_matches(base, '^f.*3\\.go$')) AND NOT (path LIKE 'docs/f2%' AND NOT regexp_matches(base, '^f.*3\\.go$'))""",
+)
+def s1(spark, d):
+    return tree.crawl(spark, _written_tree(spark, d)).select("path", "size")
+
+
+@query("S14_symbols_by_file", f"WITH {C.SOURCE_SYMBOLS}, f AS (SELECT max(file_path) AS p FROM symbols) SELECT name, kind, scope, start_line, end_line FROM symbols, f WHERE file_path = p")
+def s14(spark, d):
+    store = _source_index(spark, d)
+    last = store.read("files").where("n_symbols > 0").agg(F.max("path")).first()[0]
+    return store.read("symbols", keys=[last]).where(F.col("file_path") == last).orderBy("start_line").select("name", "kind", "scope", "start_line", "end_line")
+
+
 # --- ids, tokens
 
 
@@ -131,7 +245,8 @@ def a5(spark, d):
 
 @query("X5_postings", TOKENS + ", w AS (SELECT doc_id, 'kind' AS col, unnest(t3) AS token, generate_subscripts(t3, 1) - 1 AS pos FROM tok UNION ALL SELECT doc_id, 'name', unnest(t1), generate_subscripts(t1, 1) - 1 FROM tok UNION ALL SELECT doc_id, 'file_path', unnest(t2), generate_subscripts(t2, 1) - 1 FROM tok UNION ALL SELECT doc_id, 'scope', unnest(t4), generate_subscripts(t4, 1) - 1 FROM tok) SELECT token, doc_id, col, array_to_string(list_sort(list(pos)), ',') AS positions FROM w GROUP BY ALL")
 def x5p(spark, d):
-    return search.postings(C.texts(spark, d), "doc_id").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+    found = search.postings(C.texts(spark, d))
+    return found.select("token", F.substring("name", 4, 20).cast("long").alias("doc_id"), "col", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def _bm25_sql(phrases: list[list[str]], glue: str, tail: str = "") -> str:
@@ -142,8 +257,12 @@ def _bm25_sql(phrases: list[list[str]], glue: str, tail: str = "") -> str:
     return TOKENS + f", hit AS (SELECT *, len(t1) + len(t2) + len(t3) + len(t4) AS dl, {f} FROM tok), st AS (SELECT count(*) AS nr, avg(dl) AS avgdl, {n} FROM hit), scored AS (SELECT doc_id, file_path, name, kind, scope, start_line, -({term}) AS score FROM hit, st WHERE {glue.join(f'f{k} > 0' for k in range(len(phrases)))})" + (tail or f" SELECT doc_id, round(score, {ROUND}) AS score FROM scored")
 
 
-def _scored(spark, d, text, mode):
-    return search.bm25(C.texts(spark, d), text, mode).select("doc_id", F.round("score", ROUND).alias("score"))
+def _scored(spark, d, text, mode, limit=None):
+    """Scores from the stored index: only the postings of the query's tokens are read."""
+    store = _texts_index(spark, d)
+    stats, tokens = store.manifest()["stats"], {t for p in search.phrases_of(text) for t in p}
+    own = search.ranked(store, text, limit, mode) if limit else search.bm25_stored(store.live_postings(tokens), text, mode, stats["n_symbols"], stats["n_tokens"])
+    return own.select(F.substring("name", 4, 20).cast("long").alias("doc_id"), F.round("score", ROUND).alias("score"))
 
 
 @query("X6_bm25_and", _bm25_sql([["the"], ["idiot"]], " AND "))
@@ -163,7 +282,25 @@ def x5(spark, d):
 
 @query("T1_ranked_top", _bm25_sql([["loser"], ["trash"]], " OR ", f" SELECT doc_id, round(score, {ROUND}) AS score FROM scored ORDER BY score.score, file_path, start_line LIMIT 10".replace("score.score", "scored.score")))
 def t1(spark, d):
-    return search.bm25(C.texts(spark, d), "loser trash", "or").orderBy("score", "file_path", "start_line").limit(10).select("doc_id", F.round("score", ROUND).alias("score"))
+    return _scored(spark, d, "loser trash", "or", 10)
+
+
+@query("X6_bm25_unindexed", _bm25_sql([["the"], ["idiot"]], " AND "))
+def x6u(spark, d):
+    return search.bm25(C.texts(spark, d), "the idiot", "and").select("doc_id", F.round("score", ROUND).alias("score"))
+
+
+@query("J1_postings_to_symbols", _bm25_sql([["pathetic"]], " AND ", " SELECT name, kind, file_path, length(scope) AS n FROM scored ORDER BY score, file_path, start_line, name LIMIT 15"))
+def j1(spark, d):
+    """The ranked postings' symbols, whole rows."""
+    store = _texts_index(spark, d)
+    top = search.ranked(store, "pathetic", 15, "and")
+    return store.read("symbols").join(F.broadcast(top), list(search.KEY)).select("name", "kind", "file_path", F.length("scope").cast("long").alias("n"))  # 15 rows
+
+
+@query("X4_match_string", """SELECT * FROM (VALUES (0, '"a""b" "c"'), (1, '"x" OR "y"'), (2, '""')) v(k, text)""")
+def x4(spark, d):
+    return spark.createDataFrame([(k, search.quoted_query(q, m)) for k, (q, m) in enumerate((('a"b  c', "and"), (" x y", "OR"), ("  ", "or")))], "k int, text string")
 
 
 MATCHED = "CASE WHEN contains(lower(name), 'doc1') OR contains(lower(name), 'src2') THEN 'symbol' WHEN contains(lower(file_path), 'doc1') OR contains(lower(file_path), 'src2') THEN 'path' WHEN contains(lower(kind), 'doc1') OR contains(lower(kind), 'src2') THEN 'kind' WHEN contains(lower(scope), 'doc1') OR contains(lower(scope), 'src2') THEN 'scope' ELSE 'symbol' END"
@@ -176,12 +313,12 @@ def x8(spark, d):
 
 @query("X9_search_fallback", f"WITH {C.TEXTS} SELECT file_path||'#'||kind||'#'||name||'#1' AS symbol_id, name, kind, file_path, start_line, 'symbol' AS matched_in FROM txt WHERE contains(name, 'oc12') ORDER BY file_path, start_line, name LIMIT 10")
 def x9(spark, d):
-    return search.search(C.texts(spark, d), "oc12")
+    return search.search_stored(_texts_index(spark, d), "oc12")
 
 
 @query("X9_search_ranked", _bm25_sql([["moron"], ["pathetic"]], " OR ", " SELECT file_path||'#'||kind||'#'||name||'#1' AS symbol_id, name, kind, file_path, start_line, 'scope' AS matched_in FROM scored ORDER BY score, file_path, start_line, name LIMIT 10"))
 def x9r(spark, d):
-    return search.search(C.texts(spark, d), "moron pathetic", mode="or")
+    return search.search_stored(_texts_index(spark, d), "moron pathetic", mode="or")
 
 
 # --- extraction
@@ -299,10 +436,32 @@ def f7(spark, d):
 
 @query("F8_outline", f"WITH {C.SOURCE_SYMBOLS}, f AS (SELECT min(file_path) AS p FROM symbols) SELECT file_path||'#'||kind||'#'||name||'#'||start_line AS symbol_id, name, kind, scope, start_line, end_line FROM symbols, f WHERE file_path = p")
 def f8(spark, d):
-    symbols = _src(spark, d)[1]
-    first = symbols.agg(F.min("file_path").alias("p"))
-    own = symbols.join(F.broadcast(first), F.col("file_path") == F.col("p"))  # a single row
-    return own.select(S.symbol_id(*map(F.col, ("file_path", "kind", "name", "start_line"))).alias("symbol_id"), "name", "kind", "scope", "start_line", "end_line")
+    every = C.source_lines(spark, d)
+    first = extract.marked_lines(every).where("def is not null").agg(F.min("file_path").alias("p"))
+    own = every.join(F.broadcast(first), F.col("file_path") == F.col("p"), "left_semi")  # a single row; only its lines are extracted
+    symbols = extract.symbols_with_ends(own)
+    return symbols.select(S.symbol_id(*map(F.col, search.KEY)).alias("symbol_id"), "name", "kind", "scope", "start_line", "end_line")
+
+
+@query("F3_like_literals", f"WITH {C.TEXTS} SELECT doc_id FROM txt WHERE scope LIKE '%\\_%' ESCAPE '\\' OR scope LIKE '%\\%%' ESCAPE '\\'")
+def f3(spark, d):
+    return C.texts(spark, d).where(S.contains_folded(F.col("scope"), "_") | S.contains_folded(F.col("scope"), "%")).select("doc_id")
+
+
+@query("F5_dir_trimmed", f"WITH {C.SOURCE_SYMBOLS} SELECT file_path, name, start_line FROM symbols WHERE file_path LIKE 'src/n3/%' OR file_path LIKE 'src/n7/%'")
+def f5(spark, d):
+    return _src(spark, d)[1].where(S.under_dir(F.col("file_path"), "  //src/n3/ ") | S.under_dir(F.col("file_path"), "Src/N7//")).select("file_path", "name", "start_line")
+
+
+@query("F11_projection", f"WITH {C.SOURCE_SYMBOLS} SELECT file_path||'#'||kind||'#'||name||'#'||start_line AS symbol_id, name, kind, file_path, start_line, 'path' AS matched_in FROM symbols WHERE name = 'Item9' ORDER BY file_path, start_line LIMIT 7")
+def f11(spark, d):
+    found = search.search(_src(spark, d)[1], "Item9", 7, name_match="exact")
+    return found.withColumn("matched_in", F.when(F.col("matched_in") == "symbol", "path").otherwise("?"))
+
+
+@query("T2_by_name_top", f"WITH {C.SOURCE_SYMBOLS} SELECT file_path, name, start_line FROM symbols WHERE name ILIKE '%item1%' ORDER BY file_path, start_line, name LIMIT 25")
+def t2(spark, d):
+    return search.search_stored(_source_index(spark, d), " item1 ", 25, name_match="contains").select("file_path", "name", "start_line")
 
 
 @query("F10_like_and", f"WITH {C.TEXTS} SELECT doc_id FROM txt WHERE (name ILIKE '%oc1%' OR file_path ILIKE '%oc1%') AND (name ILIKE '%src3%' OR file_path ILIKE '%src3%')")
@@ -354,6 +513,16 @@ def a7(spark, d):
     return search.map_directory(symbols, calls, "src/n4").select("dir", "n_definitions", "n_outgoing", told("definitions", "file_path", "start_line", "name"), told("outgoing", "file_path", "line", "callee_name", "col"))
 
 
+@query("A6_status", f"WITH {C.SOURCE_SYMBOLS} SELECT (SELECT count(DISTINCT file_path) FROM src_lines) AS n_files, (SELECT count(*) FROM symbols) AS n_symbols, (SELECT count(*) FROM sites) AS n_call_sites, 'regex' AS indexer")
+def a6(spark, d):
+    return _source_index(spark, d).status().select("n_files", "n_symbols", "n_call_sites", "indexer")
+
+
+@query("J7_file_meta", f"WITH {C.SOURCE_SYMBOLS} SELECT l.file_path AS path, CAST(l.size AS BIGINT) AS size, s.n AS n_symbols, c.n AS n_calls FROM (SELECT file_path, sum(strlen(text) + 1) - 1 AS size FROM src_lines GROUP BY 1) l JOIN (SELECT file_path, count(*) AS n FROM symbols GROUP BY 1) s USING (file_path) JOIN (SELECT file_path, count(*) AS n FROM sites GROUP BY 1) c USING (file_path)")
+def j7(spark, d):
+    return _source_index(spark, d).read("files").select("path", "size", "n_symbols", "n_calls")
+
+
 @query("A8_token_estimate", f"WITH {C.TEXTS} SELECT doc_id, CAST(ceil(strlen(scope) / 4.0) AS BIGINT) AS tokens FROM txt")
 def a8(spark, d):
     return C.texts(spark, d).select("doc_id", lines.token_estimate(F.col("scope")).alias("tokens"))
@@ -369,11 +538,17 @@ def a9(spark, d):
 # --- maintenance and output
 
 
-@query("K1_replace", f"WITH {C.SOURCE_SYMBOLS} SELECT file_path, name, CASE WHEN file_path LIKE 'src/n1/%' THEN 'new' ELSE scope END AS scope, start_line FROM symbols")
+CHANGED = "(SELECT min(file_path) FROM src_lines)"
+
+
+@query("K1_replace", f"WITH {C.SOURCE_SYMBOLS}, o AS (SELECT * FROM symbols WHERE file_path <> {CHANGED}) SELECT file_path, name, scope, start_line, end_line FROM o UNION ALL SELECT {CHANGED}, 'Again', 'anew', 2, 4")
 def k1(spark, d):
-    old = _src(spark, d)[1].select("file_path", "name", "scope", "start_line")
-    new = old.where("file_path like 'src/n1/%'").withColumn("scope", F.lit("new"))
-    return relate.replace_files(old, new, new)
+    """One file indexed again, calls and postings with it; its bucket alone is written."""
+    own = _source_index(spark, d, "replaced")
+    path = own.read("files").agg(F.min("path")).first()[0]
+    text = "// anew\nfunc Again(q int) {\n\tcall(q)\n}\n"
+    CodeIndex(spark, own.path).apply(spark.createDataFrame([(path, 1, len(text), text)], "path string, mtime_ns long, size long, text string"))
+    return own.read("symbols").select("file_path", "name", "scope", "start_line", "end_line")
 
 
 @query("K2_remove", f"WITH {C.SOURCE_SYMBOLS} SELECT file_path, name, start_line FROM symbols WHERE file_path NOT LIKE 'src/n1/%'")
@@ -393,6 +568,53 @@ def k9(spark, d):
     return C.texts(spark, d).select(F.concat_ws("\t", "file_path", F.col("start_line").cast("string"), "kind", "name").alias("line"))
 
 
+REPLACED = f"WITH {C.TEXTS}, now AS (SELECT name, file_path, kind, CASE WHEN doc_id % 400 = 17 THEN 'zebra zebra quagga' ELSE scope END AS scope FROM txt WHERE doc_id % 400 <> 19), tok AS (SELECT name, list_concat(list_concat(regexp_extract_all(lower(strip_accents(name)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), regexp_extract_all(lower(strip_accents(file_path)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')), list_concat(regexp_extract_all(lower(strip_accents(kind)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), regexp_extract_all(lower(strip_accents(scope)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'))) AS t FROM now), w AS (SELECT name, unnest(t) AS token FROM tok)"
+
+
+@query("K4_postings_kept", REPLACED + " SELECT token, count(DISTINCT name) AS df, count(*) AS tf FROM w GROUP BY 1")
+def k4(spark, d):
+    """Postings after some documents were replaced and some removed: what the live ones count."""
+    symbols = _text_symbols(spark, d)
+    store = _stored(spark, d, "postings", lambda s: s.apply(_meta_of(symbols), symbols, _no_calls(spark)))
+    number = F.substring("name", 4, 20).cast("long") % 400
+    new = symbols.where(number == 17).withColumn("scope", F.lit("zebra zebra quagga"))
+    store.apply(_meta_of(new), new, _no_calls(spark), symbols.where(number == 19).select(F.col("file_path").alias("path")))
+    return store.live_postings().groupBy("token").agg(F.countDistinct("name").alias("df"), F.sum(F.size("positions")).cast("long").alias("tf"))
+
+
+@query("K3_meta", "SELECT * FROM (VALUES ('a', '1'), ('b', '3'), ('c', NULL)) v(key, value)")
+def k3(spark, d):
+    store = Snapshots(spark, work_folder(spark, "meta"))
+    none = _text_symbols(spark, d).limit(0)
+    store.apply(_meta_of(none), none, _no_calls(spark), a="1", b="2")
+    store.set_meta(b="3")
+    return spark.createDataFrame([(k, store.get_meta(k)) for k in "abc"], "key string, value string")
+
+
+@query("K5_lifecycle", "SELECT false AS before, true AS made, false AS after")
+def k5(spark, d):
+    store, none = Snapshots(spark, work_folder(spark, "life")), _text_symbols(spark, d).limit(0)
+    before = store.exists()
+    store.apply(_meta_of(none), none, _no_calls(spark))
+    made = store.exists()
+    store.destroy()
+    return spark.createDataFrame([(before, made, store.exists())], "before boolean, made boolean, after boolean")
+
+
+@query("K7_size", "SELECT true AS holds_bytes, true AS less_than_three_texts FROM (SELECT 1)")
+def k7(spark, d):
+    """The index's bytes: some, and under three times those of its texts."""
+    size = _texts_index(spark, d).size_bytes()
+    total = C.texts(spark, d).agg(F.sum(F.octet_length("scope")).alias("n"))
+    return total.select(F.lit(size > 0).alias("holds_bytes"), (F.lit(size) < 3 * F.col("n")).alias("less_than_three_texts"))
+
+
+@query("K8_json", "SELECT CAST(to_json(list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey)) AS VARCHAR) AS json FROM nation UNION ALL SELECT '[]'")
+def k8(spark, d):
+    nation = C.table(spark, d, "nation").select("n_nationkey", "n_name")
+    return to_json(nation, ["n_nationkey"]).unionByName(to_json(nation.limit(0), ["n_nationkey"]))
+
+
 # --- change feed
 
 
@@ -409,6 +631,22 @@ def r2(spark, d):
     return feed.debounced(feed.classified(C.feed(spark, d)), "6 hours")
 
 
+@query(
+    "R3_apply",
+    f"""WITH {C.FEED}, last AS (SELECT path, arg_max(action, (ts, action)) AS action FROM acts GROUP BY path), users AS (SELECT DISTINCT 'u'||user_id AS path FROM events)
+SELECT u.path||'.go' AS file_path, CASE WHEN action = 'sync' THEN 'New' ELSE 'Old' END||substr(u.path, 2) AS name FROM users u LEFT JOIN last USING (path) WHERE coalesce(action, '') <> 'remove'""",
+)
+def r3a(spark, d):
+    """An index of a file for each user, to which one batch of the feed's last actions is applied."""
+    events = C.feed(spark, d)
+    file = lambda df, name: df.select(F.concat("path", F.lit(".go")).alias("path"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(1).cast("long").alias("size"), F.concat(F.lit(f"func {name}"), F.substring("path", 2, 20), F.lit("() {}")).alias("text"))
+    index = CodeIndex(spark, work_folder(spark, "applied"))
+    index.apply(file(events.select("path").distinct(), "Old"))
+    last = feed.final_state(feed.classified(events))
+    index.apply(file(last.where("action = 'sync'"), "New"), last.where("action = 'remove'").select(F.concat("path", F.lit(".go")).alias("path")))
+    return index.symbols.select("file_path", "name")
+
+
 @query("R3_final_state", f"WITH {C.FEED} SELECT path, arg_max(action, (ts, action)) AS action FROM acts GROUP BY path")
 def r3(spark, d):
     return feed.final_state(feed.classified(C.feed(spark, d)))
@@ -428,10 +666,20 @@ def x12(spark, d):
     return lines.read_lines(C.files(spark, d), 2, 4)
 
 
-@query("X13_read_bytes", f"WITH {C.TEXTS} SELECT file_path, CAST(md5(array_to_string(list_slice(regexp_extract_all(to_hex(encode(scope)) , '..'), 11, 60), '')) AS VARCHAR) AS digest FROM txt")
+HEX = "hx AS (SELECT doc_id, file_path, regexp_extract_all(to_hex(encode(scope)), '..') AS h FROM txt)"
+
+
+def _bytes_sql(start: int, end: int) -> str:
+    """Hex of the numbered lines of a byte range; h are the text's bytes."""
+    part = f"string_split(array_to_string(list_transform(h[{start + 1}:{end}], lambda x: CASE WHEN x = '0A' THEN '|' ELSE x END), ''), '|')"
+    kept = f"(CASE WHEN h[least({end}, len(h))] = '0A' THEN list_slice({part}, 1, len({part}) - 1) ELSE {part} END)"
+    first = f"(1 + len(list_filter(h[1:{start}], lambda x: x = '0A')))"
+    return f"CASE WHEN len(h) <= {start} THEN '' ELSE array_to_string(list_transform({kept}, lambda x, i: to_hex(encode(CAST({first} + i - 1 AS VARCHAR)||chr(9)))||x), '0A') END"
+
+
+@query("X13_read_bytes", f"WITH {C.TEXTS}, {HEX} SELECT file_path, md5({_bytes_sql(10, 900)}) AS digest FROM hx")
 def x13(spark, d):
-    raw = F.substring(F.col("text").cast("binary"), F.lit(11), F.lit(50))
-    return C.files(spark, d).select("file_path", F.md5(F.hex(raw).cast("binary")).alias("digest"))
+    return lines.read_bytes(C.files(spark, d), 10, 900).select("file_path", F.md5(F.hex(F.col("content").cast("binary")).cast("binary")).alias("digest"))
 
 
 @query("X16_line_at_byte", f"WITH {C.TEXTS} SELECT file_path, CAST(len(list_filter(list_slice(regexp_extract_all(to_hex(encode(scope)), '..'), 1, 300), lambda x: x = '0A')) + 1 AS INT) AS line FROM txt")
@@ -439,20 +687,18 @@ def x16(spark, d):
     return C.files(spark, d).select("file_path", lines.line_at_byte(F.col("text"), F.lit(300)).alias("line"))
 
 
-@query("X14_read_symbol", f"WITH {C.SOURCE_SYMBOLS} SELECT s.file_path||'#'||kind||'#'||name||'#'||start_line AS symbol_id, string_agg(text, chr(10) ORDER BY line) AS content FROM symbols s JOIN src_lines l ON s.file_path = l.file_path AND line BETWEEN start_line AND end_line WHERE s.file_path LIKE 'src/n1/%' GROUP BY 1, s.file_path, start_line, kind, name")
+@query("X14_read_symbol", f"WITH {C.SOURCE_SYMBOLS} SELECT s.file_path||'#'||kind||'#'||name||'#'||start_line AS symbol_id, string_agg(line||chr(9)||text, chr(10) ORDER BY line) AS content FROM symbols s JOIN src_lines l ON s.file_path = l.file_path AND line BETWEEN start_line AND end_line GROUP BY 1, s.file_path, start_line, kind, name")
 def x14(spark, d):
-    every, symbols, _ = _src(spark, d)
-    some = every.where("file_path like 'src/n1/%'")
-    whole = some.groupBy("file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("text"))
-    known = symbols.where("file_path like 'src/n1/%'").withColumns({"start_byte": F.lit(None).cast("long"), "end_byte": F.lit(None).cast("long")})
-    return lines.read_symbols(known, whole)
+    unset = {c: F.lit(None).cast("long") for c in ("start_byte", "end_byte")}
+    return lines.read_symbols(_src(spark, d)[1].withColumns(unset), _tree_files(spark, d).withColumnRenamed("path", "file_path"))
 
 
-@query("X14_read_symbol_all", f"WITH {C.SOURCE_SYMBOLS} SELECT s.file_path||'#'||kind||'#'||name||'#'||start_line AS symbol_id, string_agg(text, chr(10) ORDER BY line) AS content FROM symbols s JOIN src_lines l ON s.file_path = l.file_path AND line BETWEEN start_line AND end_line GROUP BY 1, s.file_path, start_line, kind, name")
-def x14_all(spark, d):
-    every, symbols, _ = _src(spark, d)
-    whole = every.groupBy("file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("text"))
-    return lines.read_symbols(symbols.withColumns({"start_byte": F.lit(None).cast("long"), "end_byte": F.lit(None).cast("long")}), whole)
+@query("X14_read_symbol_bytes", f"WITH {C.TEXTS}, {HEX}, {LINES}, byline AS (SELECT file_path, string_agg(line||chr(9)||text, chr(10) ORDER BY line) AS content FROM ln WHERE line BETWEEN 1 AND 3 GROUP BY 1) SELECT file_path||'#k#n#1' AS symbol_id, CASE WHEN doc_id % 2 = 0 AND len(h) > 20 THEN md5({_bytes_sql(20, 300)}) ELSE md5(to_hex(encode(coalesce(content, '')))) END AS digest FROM hx LEFT JOIN byline USING (file_path)")
+def x14b(spark, d):
+    """Symbols with bytes, with bytes past the end of their file, and without."""
+    even = F.col("doc_id") % 2 == 0
+    symbols = C.texts(spark, d).select("file_path", F.lit("k").alias("kind"), F.lit("n").alias("name"), F.lit(1).alias("start_line"), F.lit(3).alias("end_line"), F.when(even, F.lit(20).cast("long")).alias("start_byte"), F.when(even, F.lit(300).cast("long")).otherwise(-1).alias("end_byte"))
+    return lines.read_symbols(symbols, C.files(spark, d)).select("symbol_id", F.md5(F.hex(F.col("content").cast("binary")).cast("binary")).alias("digest"))
 
 
 @query("X22_grep", f"WITH {C.TEXTS}, {LINES} SELECT file_path||':'||line||':'||text AS hit FROM ln WHERE contains(text, 'the') AND contains(text, 'idiot')")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +21,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(BATCH_BYTES, spark.conf.get(BATCH_BYTES, str(8 << 20)))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path that all machines share: in spark.checkpoint.dir, or on one machine a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{named or tempfile.mkdtemp(prefix='quarry-')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session with UTC time, AQE and Arrow switched on."""
     spark = (

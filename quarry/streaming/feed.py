@@ -36,3 +36,28 @@ def stream(events: DataFrame, apply, checkpoint: str, gap: str = "300 millisecon
     """
     bursts = debounced(classified(events).withWatermark("ts", late), gap)
     return bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+
+
+def applied(index, batch: DataFrame) -> dict[str, int]:
+    """Apply a micro-batch (path, action) to a CodeIndex as one version; the last action of a path counts.
+
+    Paths to sync are compared with the tree and extracted, or removed if they have gone; a
+    reconcile makes the index compare the whole tree.
+    """
+    last = batch
+    if "last_ts" in batch.columns:  # several bursts of a path may come in one batch
+        last = batch.groupBy("path").agg(F.max_by("action", F.struct("last_ts", "action")).alias("action"))
+    actions = {r.path: r.action for r in last.collect()}  # changes of one trigger
+    if "reconcile" in actions.values():
+        index.reconcile_needed = True
+    sync = sorted(p for p, a in actions.items() if a == "sync")
+    gone = sorted(p for p, a in actions.items() if a == "remove")
+    done = index.sync_paths(sync, gone) if sync or gone else {"synced": 0, "removed": 0}
+    if index.reconcile_needed:
+        index.reconcile()
+    return done
+
+
+def follow(index, events: DataFrame, checkpoint: str, gap: str = "300 milliseconds", late: str = "1 second"):
+    """A running query that keeps a CodeIndex in step with a stream (path, op, ts); stop() drops pending bursts."""
+    return stream(events, lambda batch, _: applied(index, batch), checkpoint, gap, late)
