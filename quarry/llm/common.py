@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null document id inside operators; it sorts last.
 NO_ID = (1 << 63) - 1
+#: Rows up to which a table is broadcast or kept in one partition; beyond, joins are salted.
+FEW, SALTS = 10_000, 64
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -101,6 +103,14 @@ def shown_id(name: str = "id"):
     return F.when(F.col(name) != F.lit(NO_ID), F.col(name))
 
 
+def beside(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataFrame:
+    """rows joined with the one row of table that has their key; hot keys don't meet in one task."""
+    if table.count() <= FEW:
+        return rows.join(F.broadcast(table), key)
+    spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(spread, [key, "__salt"]).drop("__salt")
+
+
 def heavy_keys(counts: DataFrame, share: float) -> np.ndarray:
     """Keys holding at least `share` of all counted rows, at most 8 / (3 share) of them.
 

@@ -1,27 +1,31 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
 Vectors of one label are put on the unit sphere, where cosine >= t means distance <= tau =
-sqrt(2 - 2 t). A label's vectors are dealt to cells around pivots and cells to blocks of
-bounded size. Each block gets a cover tree with nested levels of halving radii; for each pair of
-blocks the two trees are walked together. A pair of nodes whose centres are further apart than
-tau plus both covering radii is dropped, one that is certainly closer is linked as a whole, and
-the rest is opened down to the vectors, which are compared exactly.
+sqrt(2 - 2 t). A label's cell is cut into cells around the points of a net, these again with half
+the radius or less, until a cell is a block of bounded size. Pairs of cells are walked down from
+the labels, level by level, as tables: a pair whose centres are further apart than tau plus both
+covering radii is dropped. Each block has a cover tree with nested levels of halving radii, and
+for a pair of blocks the two trees are walked together by the same bounds; nodes that are
+certainly closer are linked as a whole, and the rest is opened down to the vectors, which are
+compared exactly.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NO_ID, cut, components, follow, forest, partitions, shown_id
+from quarry.llm.common import NO_ID, beside, column, components, cut, follow, forest, partitions, shown_id, tidy
 
 SLACK = 1e-6
-#: Pivots of all labels together, which the driver holds, and vectors in a block.
-PIVOTS, BLOCK = 4096, 2048
+#: Vectors in a block, vectors that a cell's net is chosen from, points of a net, and vectors that a task deals to them.
+BLOCK, SAMPLE, FAN, DEALT = 2048, 256, 48, 20_000
 
 
 class CoverTree:
@@ -143,6 +147,116 @@ def _units(raw: list[bytes], dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def net(unit: np.ndarray, reach: float, finest: float, most: int) -> tuple[list[int], float]:
+    """Rows further apart than the returned reach, which is halved until there are two; one row if they are all closer than finest."""
+    while reach >= finest:
+        chosen, away = [0], np.sqrt(np.maximum(0, 2 - 2 * (unit @ unit[0])))
+        while len(chosen) < most and away.max() > reach:
+            chosen.append(int(away.argmax()))
+            away = np.minimum(away, np.sqrt(np.maximum(0, 2 - 2 * (unit @ unit[chosen[-1]]))))
+        if len(chosen) > 1:
+            return chosen, reach
+        reach /= 2
+    return [0], reach
+
+
+def cut_cells(vectors: DataFrame, finest: float) -> tuple[DataFrame, list[DataFrame]]:
+    """vectors (node, w, v, cell) with the cells that they end in, and the levels of cells below the labels.
+
+    A level has (cell, parent, centre, radius): radius is that of the vectors in the cell. A cell
+    of more than BLOCK vectors is cut by a net of its own sample; one whose vectors are closer
+    than `finest` stays whole, its parts are dealt by hash.
+    """
+
+    def chosen(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("nth").to_numpy())
+        raw = rows.column("v").take(pa.array(order)).to_pylist()
+        n = rows.column("n")[0].as_py()
+        at, reach = net(_units(raw, len(raw[0]) // 8), rows.column("reach")[0].as_py(), finest, max(2, min(FAN, -(-2 * n // BLOCK))))
+        at = at if len(at) > 1 else []
+        m = len(at)
+        return pa.table([pa.array([rows.column("cell")[0].as_py()] * m, pa.string()), pa.array(range(m), pa.int32()), pa.array([raw[k] for k in at], pa.binary()), pa.array([reach / 2] * m, pa.float64())], names=["cell", "kid", "centre", "reach"])
+
+    def dealt(rows: pa.Table, kids: pa.Table) -> pa.Table:
+        if not rows.num_rows or not kids.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.float64())], names=["node", "w", "v", "cell", "away"])
+        kids = kids.sort_by("kid")
+        centres = kids.column("centre").to_pylist()
+        dots = _units(rows.column("v").to_pylist(), len(centres[0]) // 8) @ _units(centres, len(centres[0]) // 8).T
+        to = [f"{c}/{k}" for c, k in zip(rows.column("cell").to_pylist(), dots.argmax(1).tolist())]
+        return pa.table([*(rows.column(c) for c in ("node", "w", "v")), pa.array(to), pa.array(np.sqrt(np.maximum(0, 2 - 2 * dots.max(1))))], names=["node", "w", "v", "cell", "away"])
+
+    done, levels = [], []
+    # a label's points are at most 2 apart
+    now = vectors.withColumn("reach", F.lit(1.0))
+    while True:
+        sizes = cut(now.groupBy("cell").agg(F.count("*").alias("n"), F.first("reach").alias("reach")))
+        big = sizes.where(F.col("n") > BLOCK)
+        if big.isEmpty():
+            done.append(now.select("node", "w", "v", "cell"))
+            break
+        wide = cut(beside(now.drop("reach"), sizes, "cell", F.xxhash64("node")))
+        done.append(wide.where(F.col("n") <= BLOCK).select("node", "w", "v", "cell"))
+        wide = wide.where(F.col("n") > BLOCK)
+        nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+        some = wide.select("cell", "v", "n", "reach", nth.alias("nth")).where(F.col("nth") <= SAMPLE)
+        kids = cut(some.groupBy("cell").applyInArrow(chosen, "cell string, kid int, centre binary, reach double"))
+        tight = big.join(kids, "cell", "left_anti").select("cell").withColumn("tight", F.lit(True))
+        wide = cut(beside(wide, sizes.select("cell").join(tight, "cell", "left"), "cell", F.xxhash64("node")))
+        done.append(wide.where("tight").select("node", "w", "v", "cell"))
+        chunks = F.ceil(F.col("n") / DEALT)
+        left = wide.where("tight is null").select("node", "w", "v", "cell", F.pmod(F.col("node"), chunks).alias("chunk"))
+        right = kids.join(big.select("cell", "n"), "cell").select("cell", "kid", "centre", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+        placed = cut(left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(dealt, "node long, w long, v binary, cell string, away double"))
+        named = kids.select(F.concat_ws("/", "cell", F.col("kid").cast("string")).alias("cell"), F.col("cell").alias("parent"), "centre", "reach")
+        radius = placed.groupBy("cell").agg(F.max("away").alias("radius"))
+        levels.append(cut(radius.join(named, "cell")))
+        now = beside(placed.drop("away"), levels[-1].select("cell", "reach"), "cell", F.xxhash64("node"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return cut(out), [x.select("cell", "parent", "centre", "radius") for x in levels]
+
+
+def near_cells(roots: DataFrame, levels: list[DataFrame], tau: float) -> DataFrame:
+    """(a, b), a <= b: the pairs of cells, none cut further, that may hold vectors at most tau apart. roots: (cell)."""
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = b.column("ca").to_pylist(), b.column("cb").to_pylist()
+            keep = np.ones(b.num_rows, bool)
+            by_dim: dict[int, list[int]] = {}
+            for k, (x, y) in enumerate(zip(left, right)):
+                if x is not None and y is not None:
+                    by_dim.setdefault(len(x) // 8, []).append(k)
+            reach = b.column("ra").to_numpy(zero_copy_only=False) + b.column("rb").to_numpy(zero_copy_only=False)
+            for dim, at in by_dim.items():
+                dots = (_units([left[k] for k in at], dim) * _units([right[k] for k in at], dim)).sum(1)
+                keep[at] = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= reach[at] + tau + SLACK
+            yield b.filter(pa.array(keep))
+
+    shape = "a string, b string, ca binary, cb binary, ra double, rb double"
+    none = F.lit(None)
+    pairs = roots.select(F.col("cell").alias("a"), F.col("cell").alias("b"), none.cast("binary").alias("ca"), none.cast("binary").alias("cb"), none.cast("double").alias("ra"), none.cast("double").alias("rb"))
+    for level in levels:
+        for side in "ab":
+            kids = level.select(F.col("parent").alias("up"), F.col("cell").alias("kid"), F.col("centre").alias("kc"), F.col("radius").alias("kr"))
+            both = pairs.withColumn("same", F.col("a") == F.col("b")) if side == "a" else pairs
+            both = both.join(kids, F.col(side) == F.col("up"), "left")
+            own = {side: F.coalesce("kid", side), f"c{side}": F.coalesce("kc", f"c{side}"), f"r{side}": F.coalesce("kr", f"r{side}")}
+            pairs = both.select(*[own.get(c, F.col(c)).alias(c) for c in ("a", "b", "ca", "cb", "ra", "rb", "same")])
+        pairs = cut(pairs.where("not same or a <= b").drop("same").mapInArrow(apart, shape))
+    return pairs.select("a", "b")
+
+
+def _pack(tree: tuple) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(tree, 5))
+
+
+def _unpack(blob: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector.
 
@@ -153,6 +267,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Equal vectors are counted first and walk the trees as one weighted vector.
     """
     spark = vectors.sparkSession
+    tau = float(np.sqrt(2 - 2 * cosine))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,84 +277,62 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 raw.append((x + 0.0).tobytes() if np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["id", "label", "v"])
 
-    source = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = cut(source.mapInArrow(read, "id long, label string, v binary").withColumn("node", F.xxhash64("label", "v")))
+    source = vectors.select(F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)).alias("id"), column(label_col).cast("string").alias("label"), column(vector_col).cast("array<double>").alias("v"))
+    read_rows = cut(source.mapInArrow(read, "id long, label string, v binary"))
+    equal = cut(read_rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("low"), F.count("*").alias("w")))
+    seed, nodes = 0, None
+    while nodes is None or not nodes.groupBy("node").count().where("count > 1").isEmpty():  # vectors are named by a hash that no two share
+        nodes = equal.withColumn("node", F.xxhash64(F.lit(seed), "label", "v"))
+        seed += 1
+    nodes = cut(nodes)
+    rows = read_rows.withColumn("node", F.xxhash64(F.lit(seed - 1), "label", "v"))
     good = rows.where("v is not null")
-    nodes = cut(good.groupBy("label", "v", "node").agg(F.min("id").alias("low"), F.count("*").alias("w")).withColumn("class", F.xxhash64("label", F.length("v"))))
-    sizes = {r["class"]: r["n"] for r in nodes.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).collect()}
-    # only classes over one block are split; the rest are one block each
-    total = max(1, sum(sizes.values()))
-    wanted = {c: max(1, min(-(-n // BLOCK), PIVOTS * n // total)) for c, n in sizes.items()}
-    pivots: dict[int, np.ndarray] = {}
-    for c, n in wanted.items():
-        got = nodes.where(F.col("class") == c).select("node", "v").orderBy(F.xxhash64("node", F.lit(1)), "node").limit(n).collect()
-        pivots[c] = _units([bytes(r.v) for r in got], len(got[0].v) // 8)
-
-    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own, raw = b.column("class").to_pylist(), b.column("v").to_pylist()
-            cell, away = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for c in set(own) & set(pivots):
-                at = np.flatnonzero(np.array([x == c for x in own]))
-                dots = _units([raw[k] for k in at], pivots[c].shape[1]) @ pivots[c].T
-                cell[at] = dots.argmax(1)
-                away[at] = np.sqrt(np.maximum(0, 2 - 2 * dots.max(1)))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("class", "node", "w", "v")), pa.array(cell), pa.array(away)], names=["class", "node", "w", "v", "cell", "away"])
-
-    dealt = cut(nodes.select("class", "node", "w", "v").mapInArrow(celled, "class long, node long, w long, v binary, cell long, away double"))
-    split = [c for c in pivots]
-    cells = dealt.where(F.col("class").isin(split)).groupBy("class", "cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect() if split else []
-    partners: dict[tuple[int, int], list[int]] = {}
-    parts = {(r["class"], r["cell"]): -(-r["n"] // BLOCK) for r in cells}
-    tau = float(np.sqrt(2 - 2 * cosine))
-    radius = {(r["class"], r["cell"]): r["r"] for r in cells}
-    for c, p in pivots.items():
-        own = sorted(k for cc, k in parts if cc == c)
-        d = np.sqrt(np.maximum(0, 2 - 2 * (p[own] @ p[own].T)))
-        r = np.array([radius[c, k] for k in own])
-        near = d <= r[:, None] + r[None, :] + tau + SLACK
-        for i, k in enumerate(own):
-            partners[c, k] = [own[j] for j in np.flatnonzero(near[i])]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each pair of blocks that a vector's block is in: class, the two blocks, side."""
-        for b in batches:
-            keys, sides, at = [], [], []
-            for k, (c, cell, node) in enumerate(zip(b.column("class").to_pylist(), b.column("cell").to_pylist(), b.column("node").to_pylist())):
-                me = (cell, node % parts.get((c, cell), 1))
-                for other in partners.get((c, cell), [cell]):
-                    for part in range(parts.get((c, other), 1)):
-                        you = (other, part)
-                        pair = (me, you) if me <= you else (you, me)
-                        keys.append(hash((c, *pair[0], *pair[1])))
-                        sides.append(2 if me == you else int(me == pair[1]))
-                        at.append(k)
-            take = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sides, pa.int32()), *(take.column(k) for k in ("class", "node", "w", "v"))], names=["pair", "side", "class", "node", "w", "v"])
+
+    start = nodes.select("node", "w", "v", F.concat_ws(":", F.length("v").cast("string"), "label").alias("cell"))
+    cells, levels = cut_cells(start, tau / 8)
+    near = near_cells(start.select("cell").distinct(), levels, tau)
+    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # over one where all are very close
+    named = lambda cell, part: F.concat_ws("#", cell, F.col(part).cast("string"))
+    for side in "ab":
+        near = near.join(parts.select(F.col("cell").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias(f"p{side}")), side)
+    pairs = near.where("a < b or pa <= pb").select(named("a", "pa").alias("a"), named("b", "pb").alias("b"))
+
+    def planted(rows: pa.Table) -> pa.Table:
+        """A block's tree, made once."""
+        raw = rows.column("v").to_pylist()
+        tree = CoverTree(_units(raw, len(raw[0]) // 8), tau / 8)
+        blob = _pack((tree, rows.column("node").to_numpy(), rows.column("w").to_numpy()))
+        return pa.table([pa.array([rows.column("block")[0].as_py()]), pa.array([blob], pa.binary())], names=["block", "blob"])
+
+    dealt = beside(cells, cut(parts), "cell", F.xxhash64("node")).withColumn("part", F.pmod(F.col("node"), F.col("parts")))
+    blocks = cut(dealt.select("node", "w", "v", named("cell", "part").alias("block")).groupBy("block").applyInArrow(planted, "block string, blob binary"))
+    trees = lambda side: blocks.select(F.col("block").alias(side), F.col("blob").alias(f"t{side}"))
+    meet = pairs.join(trees("a"), "a").join(trees("b"), "b").select("a", "b", "ta", F.when(F.col("a") != F.col("b"), F.col("tb")).alias("tb"))
+    meet = meet.repartition(partitions(spark), "a", "b").sortWithinPartitions("a", "b")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for side, node, w, v in _pairs(batches):
-            unit = _units(v, len(v[0]) // 8)
-            if side[0] == 2:
-                tree = CoverTree(unit, tau / 8)
-                na, nb, edges = dual(tree, tree, w, w, cosine, True)
-                names, links = node, na + nb
-                edges = node[edges]
-            else:
-                left, right = side == 0, side == 1
-                if not left.any() or not right.any():
-                    continue
-                na, nb, edges = dual(CoverTree(unit[left], tau / 8), CoverTree(unit[right], tau / 8), w[left], w[right], cosine, False)
-                names, links = np.append(node[left], node[right]), np.append(na, nb)
-                edges = np.column_stack([node[left][edges[:, 0]], node[right][edges[:, 1]]])
-            tree = forest(edges) if len(edges) else np.empty((0, 2), np.int64)
-            some = links > 0
-            a = np.append(names[some], tree[:, 0])
-            b = pa.array([None] * int(some.sum()) + tree[:, 1].tolist(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.append(links[some], np.zeros(len(tree), np.int64)))], names=["a", "b", "n"])
-
-    pairs = dealt.mapInArrow(spread, "pair long, side int, class long, node long, w long, v binary").repartition(partitions(spark), "pair").sortWithinPartitions("pair")
-    found = cut(pairs.mapInArrow(walk, "a long, b long, n long"))
+        name, left = None, None
+        for b in batches:
+            for k in range(b.num_rows):
+                if b.column("a")[k].as_py() != name:
+                    name, left = b.column("a")[k].as_py(), _unpack(b.column("ta")[k].as_py())
+                tree, node, w = left
+                if b.column("tb")[k].as_py() is None:
+                    na, nb, edges = dual(tree, tree, w, w, cosine, True)
+                    names, links = node, na + nb
+                    edges = node[edges]
+                else:
+                    other, you, v = _unpack(b.column("tb")[k].as_py())
+                    na, nb, edges = dual(tree, other, w, v, cosine, False)
+                    names, links = np.append(node, you), np.append(na, nb)
+                    edges = np.column_stack([node[edges[:, 0]], you[edges[:, 1]]])
+                found = forest(edges)
+                some = links > 0
+                first = np.append(names[some], found[:, 0])
+                second = pa.array([None] * int(some.sum()) + found[:, 1].tolist(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(first), second, pa.array(np.append(links[some], np.zeros(len(found), np.int64)))], names=["a", "b", "n"])
+
+    found = cut(meet.mapInArrow(tidy(walk), "a long, b long, n long"))
     roots = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     own = cut(nodes.select("node", "low", "w").join(links, "node", "left").join(roots, "node", "left").select("node", "low", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "node").alias("root")))
@@ -256,25 +349,3 @@ def _attach(rows: DataFrame, table: DataFrame) -> DataFrame:
     counts = table.select("node", F.col("up.n").alias("up"))
     first = cut(follow(rows.select("node", "id", F.col("node").alias("key")), "node", roots).select("key", "id", F.col("node").alias("root")))
     return follow(first, "key", counts).select("id", "root", F.col("key").alias("n"))
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    now, held = None, []
-
-    def whole():
-        return (np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), [x for h in held for x in h[3]])
-
-    for b in batches:
-        pair = b.column("pair").to_numpy()
-        edge = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
-        for lo, hi in zip(edge[:-1], edge[1:]):
-            if lo == hi:
-                continue
-            if held and pair[lo] != now:
-                yield whole()
-                held = []
-            now = pair[lo]
-            part = b.slice(lo, hi - lo)
-            held.append((part.column("side").to_numpy(), part.column("node").to_numpy(), part.column("w").to_numpy(), part.column("v").to_pylist()))
-    if held:
-        yield whole()

@@ -13,13 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import text as T
-from quarry.llm.common import column, cut, own_names, partitions
+from quarry.llm.common import FEW, beside, column, cut, own_names, partitions
 
 #: Words in a block, about how many in a shard, and equal rows that are dealt at once.
 BLOCK, SHARD, EQUAL = 16, 1 << 18, 100_000
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
-#: Rows up to which a table is broadcast or kept in one partition; beyond, joins are salted.
-FEW, SALTS = 10_000, 64
 #: Divisors tried at once in a pass, and passes at most.
 TRIED, PASSES = 24, 10
 
@@ -61,14 +59,6 @@ def with_targets(sources: DataFrame) -> DataFrame:
     return table.withColumn("target", F.least((MOST * F.col("source_size")).cast("double"), F.lit(level or 0.0) * F.col("w"))).drop("w")
 
 
-def _beside(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataFrame:
-    """rows joined with the one row of table that has their key; hot keys don't meet in one task."""
-    if table.count() <= FEW:
-        return rows.join(F.broadcast(table), key)
-    spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(spread, [key, "__salt"]).drop("__salt")
-
-
 def _seats(divisor: Column) -> Column:
     """Quotients votes / (2 k + 1) that are at least half the divisor, of a unit that takes `most` seats."""
     return F.least(F.col("most"), F.floor(F.col("votes") / divisor + 0.5).cast("long"))
@@ -91,7 +81,7 @@ def apportioned(units: DataFrame, houses: DataFrame) -> DataFrame:
     for _ in range(PASSES):
         tried = F.transform(F.sequence(F.lit(0), F.lit(TRIED)), lambda j: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), j / TRIED))
         sums = [F.sum(_seats(F.col("tried")[j])).alias(f"s{j}") for j in range(TRIED + 1)]
-        won = _beside(units, table.withColumn("tried", tried), "key", by).groupBy("key", "house", "tried", "n").agg(*sums)
+        won = beside(units, table.withColumn("tried", tried), "key", by).groupBy("key", "house", "tried", "n").agg(*sums)
         # at the lesser of two divisors the house is full, at the greater one it isn't yet
         full = F.size(F.filter(F.array(*[f"s{j}" for j in range(1, TRIED)]), lambda x: x >= F.col("house")))
         won = won.withColumn("at", full).withColumn("sums", F.array(*[f"s{j}" for j in range(TRIED + 1)]))
@@ -100,13 +90,13 @@ def apportioned(units: DataFrame, houses: DataFrame) -> DataFrame:
             break
     # one quotient more on either side, for what rounding of the divisors may have cost
     sure = F.greatest(_seats(F.col("hi")) - 1, F.lit(0))
-    both = cut(_beside(units, table, "key", by).select("key", "unit", "votes", "house", sure.alias("sure"), F.least(F.col("most"), _seats(F.col("lo")) + 1).alias("upto")))
+    both = cut(beside(units, table, "key", by).select("key", "unit", "votes", "house", sure.alias("sure"), F.least(F.col("most"), _seats(F.col("lo")) + 1).alias("upto")))
     need = both.groupBy("key", "house").agg(F.sum("sure").alias("given")).select("key", (F.col("house") - F.col("given")).alias("need"))
     seats = both.where("upto > sure").withColumn("seat", F.explode(F.sequence("sure", F.col("upto") - 1)))
     quotient = (F.col("votes") / (2 * F.col("seat") + 1)).alias("quotient")
     placed = numbered(seats.select("key", "unit", "seat", quotient), F.col("key"), F.col("quotient").desc(), F.col("unit"), F.col("seat"), parts=1 if few else partitions(units.sparkSession))
     first = cut(placed.groupBy("key").agg(F.min("n").alias("first")).join(need, "key"))
-    won = _beside(placed, first, "key", by).where(F.col("n") - F.col("first") < F.col("need")).groupBy("key", "unit").agg(F.count("*").alias("more"))
+    won = beside(placed, first, "key", by).where(F.col("n") - F.col("first") < F.col("need")).groupBy("key", "unit").agg(F.count("*").alias("more"))
     mine = units.select("key", "unit").join(both.select("key", "unit", "sure"), ["key", "unit"], "left").join(won, ["key", "unit"], "left")
     return mine.select("key", "unit", (F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("quota"))
 
@@ -151,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     house = total.select(F.lit("all").alias("key"), F.floor((F.col("total") + BLOCK // 2) / BLOCK).alias("house"))
     blocks = apportioned(sources.select(F.lit("all").alias("key"), F.col("key").alias("unit"), F.col("target").alias("votes"), _most(F.col("source_size")).alias("most")), house)
     n_shards = F.greatest(F.ceil((F.col("source_size") + F.col("n_docs")) / SHARD), F.lit(1)).cast("long")
-    dealt = _beside(rows, sources.select("key", "source_size", "target", n_shards.alias("n_shards")), "key", F.col("h")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), "n_shards"))
+    dealt = beside(rows, sources.select("key", "source_size", "target", n_shards.alias("n_shards")), "key", F.col("h")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), "n_shards"))
     shards, _ = gathered(dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size")))
     votes = shards.select("key", F.col("shard").alias("unit"), F.col("shard_size").cast("double").alias("votes"), _most(F.col("shard_size")).alias("most"))
     quotas = apportioned(votes, blocks.select(F.col("unit").alias("key"), F.col("quota").alias("house")))

@@ -235,16 +235,21 @@ def vector_oracle(rows, cosine=0.98):
     return sorted((str(r[0]), n, str(None if c == NO else c), i == c) for r, n, c, i in zip(rows, links, groups(len(rows), pairs, ids), ids))
 
 
-def test_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("block", [24, 64])  # several levels of cells, and one
+def test_vectors(spark, monkeypatch, block):
     from quarry.llm import embedding_dedup
 
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "FAN", 3)
+    monkeypatch.setattr(embedding_dedup, "DEALT", 40)
     rng = np.random.default_rng(8)
     rows = []
     for label in range(3):
         for c in rng.normal(size=(12, 16)):
             for _ in range(rng.integers(1, 25)):
                 rows.append((len(rows), (c + rng.normal(size=16) * rng.choice([0, 0.05, 0.12, 0.2])).astype(np.float32).tolist(), label))
+    tight = rng.normal(size=16)  # more vectors closer than any net parts than a block holds
+    rows += [(1000 + k, (tight + 1e-4 * rng.normal(size=16)).tolist(), 2) for k in range(30)]
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] + [1.0] * 15, 1), (904, rows[0][1], None), (None, rows[0][1], 0), (905, [2 * x for x in rows[0][1]], 0), (0, rows[0][1], 0), (906, [1.0, 2.0], 0)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, node int, cell int")
     got = [(str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in near_vectors(df).collect()]
