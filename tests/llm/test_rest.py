@@ -460,19 +460,58 @@ def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage's rows by brute force over what the stage before kept."""
     import corpus_pipeline
+    from test_dedup import byte_oracle, fp_groups
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "simhash near-dedup", "suffix-array dedup", "source mixing", "best-fit packing"]
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns, counts = docs.columns, []
+    columns, kept = docs.columns, [docs.collect()]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, d)
         docs.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
-        counts.append(docs.count())
+        kept.append(docs.collect())
         assert k == 4 or docs.columns == columns
-    want = {r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").collect() if not measures(r.text)[-1]}
-    assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/0").collect()} <= want
-    assert counts[1] < counts[0] and counts[2] == counts[1]
-    assert corpus_pipeline.run(spark, d).count() == counts[4]
+    source, good, single, cleaned, mixed, packed = kept
+    # 1: sf0.001 has too few labels to certify a cutoff, so the base rule decides
+    assert sorted(good) == sorted(r for r in source if not measures(r.text)[-1])
+    # 2: of each group of fingerprints the least id
+    assert len(good) > len(single) and {r.doc_id for r in single} == {int(c) for *_, c in fp_groups([(r.doc_id, r.text) for r in good])}
+    assert all(r in good for r in single)
+    # 3: bytes that repeat go, and what is left of letters that they cut
+    want = {int(i): raw.decode("utf-8", "ignore") for i, *_, raw in byte_oracle([(r.doc_id, r.text) for r in single])}
+    assert {r.doc_id: r.text for r in cleaned} == want and all(r.n_chars == len(r.text) for r in cleaned)
+    assert sorted((r.doc_id, r.lang, r.source) for r in cleaned) == sorted((r.doc_id, r.lang, r.source) for r in single)
+    # 4: each source comes near its target, no document over three times its words
+    size, taken, of = collections.Counter(), collections.Counter(), {r.doc_id: r.source for r in cleaned}
+    words, drawn = {r.doc_id: len(r.text.split()) for r in cleaned}, collections.Counter()
+    for i, n in words.items():
+        size[of[i]] += n
+    for r in mixed:
+        taken[r.source] += len(r.text.split())
+        drawn[r.doc_id] += len(r.text.split())
+        assert r.source == of[r.doc_id] and r.text and (r.text == want[r.doc_id] or set(r.text.split()) <= set(want[r.doc_id].split()))
+    assert all(n <= 3 * words[i] for i, n in drawn.items())
+    order = sorted(size)
+    weights, capped = {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)}, set()
+    while True:
+        level = (sum(size.values()) - sum(3 * size[x] for x in capped)) / sum(weights[x] for x in order if x not in capped)
+        more = {x for x in order if x not in capped and level * weights[x] > 3 * size[x]}
+        if not more:
+            break
+        capped |= more
+    assert all(abs(taken[x] - (3 * size[x] if x in capped else level * weights[x])) <= 3 * mixing.BLOCK for x in order)
+    # 5: the pieces of every document, each once
+    from tokenizers import Tokenizer
+
+    tokenizer, pieces = Tokenizer.from_file(VOCABULARY), collections.Counter()
+    for r in mixed:
+        ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids), 1024)]
+        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ids)])):
+            pieces[(r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == pieces
+    assert len({r.sequence_id for r in packed}) == best_fit_decreasing([r.length for r in packed], 1024)
+    assert corpus_pipeline.run(spark, d).count() == len(packed)
