@@ -10,6 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.patterns import EXTENSIONS
 from quarry.functions.strings import parse_symbol_id
 from quarry.operators import extract, lines, relate, search, syntax
 from quarry.operators.ignore import kept_paths
@@ -29,8 +30,10 @@ class NoCallers(LookupError):
 class CodeIndex:
     """An index at a path that Spark can reach, of the tree at root or of texts that are handed in."""
 
-    def __init__(self, spark: SparkSession, path: str, root: str | None = None, buckets: int = 16):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, path: str, root: str | None = None, buckets: int = 16, indexer: str = "regex"):
+        if indexer not in ("regex", "grammar"):
+            raise BadQuery("the indexer must be regex or grammar")
+        self.spark, self.root, self.indexer = spark, root, indexer
         self.store = Snapshots(spark, path, buckets)
         self._lock, self._refresh = threading.Lock(), threading.Lock()
         self._running: threading.Thread | None = None
@@ -39,16 +42,23 @@ class CodeIndex:
 
     # building
 
-    @staticmethod
-    def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(symbols, call sites) of files (file_path, text)."""
+    def extracted(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(symbols, call sites) of files (file_path, text).
+
+        By lines alone; or with the indexer grammar: bounds, bytes and calls from the sources'
+        grammar or tokens, so that symbols may nest and declarations are no calls.
+        """
         every = lines.lines(files)
-        unset = {c: F.lit(None).cast("long") for c in ("start_byte", "end_byte")}
-        return extract.symbols_with_ends(every).withColumns(unset), extract.enclosed_calls(every)
+        found = extract.symbols_with_ends(every)
+        if self.indexer == "regex":
+            unset = {c: F.lit(None).cast("long") for c in ("start_byte", "end_byte")}
+            return found.withColumns(unset), extract.enclosed_calls(every)
+        symbols = syntax.refined(found, syntax.definitions(files))
+        return symbols, relate.enclose(syntax.calls(files), symbols)
 
     def _meta(self, **more: str) -> dict[str, str]:
         now = datetime.datetime.now(datetime.timezone.utc)
-        return {"indexer": "regex", "last_sync_at": now.strftime("%Y-%m-%dT%H:%M:%SZ")} | more
+        return {"indexer": self.indexer, "last_sync_at": now.strftime("%Y-%m-%dT%H:%M:%SZ")} | more
 
     def apply(self, files: DataFrame, gone: DataFrame | None = None, **meta: str) -> int:
         """Index files (path, mtime_ns, size, text) and remove gone (path), as one version.
@@ -230,8 +240,10 @@ class CodeIndex:
         return search.map_directory(self.store.read("symbols", version), self.store.read("call_sites", version), directory, max_definitions, max_outgoing)
 
     def check_file(self, file_path: str) -> DataFrame:
-        """One row (file_path, ok, errors) for a file of the tree; unknown languages have no errors."""
+        """One row (file_path, ok, errors) for a file of the tree in one of the languages read."""
         own = self._file(file_path)
+        if extension_of(file_path) not in EXTENSIONS:
+            raise syntax.Unsupported(f"{file_path!r} is in no language that is checked")
         found = syntax.check(own).groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line", "col", "message"))).alias("errors"))
         errors = F.coalesce("errors", F.array().cast("array<struct<line:int,col:int,message:string>>"))
         return own.select("file_path").join(found, "file_path", "left").select("file_path", (F.size(errors) == 0).alias("ok"), errors.alias("errors"))
@@ -241,6 +253,11 @@ class CodeIndex:
         return self.store.status().withColumn("reconcile_needed", F.lit(self.reconcile_needed))
 
 
+def extension_of(path: str) -> str:
+    """From the last dot of the name on, in lower case."""
+    return os.path.splitext("x" + os.path.basename(path.strip()))[1].lower()
+
+
 def as_json(df: DataFrame) -> str:
     """All rows of a query's few as a JSON array, in order; [] if there are none."""
     return "[" + ",".join(r[0] for r in df.select(F.to_json(F.struct("*"))).collect()) + "]"

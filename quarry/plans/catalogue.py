@@ -706,25 +706,59 @@ def x22(spark, d):
     return lines.grep(lines.lines(C.files(spark, d)), ["the", "idiot"])
 
 
-# --- Python sources, by their grammar (no SQL equivalent)
+# --- sources read by grammar or tokens; the SQL says what the made-up files hold
 
 
-def _python_files(spark, d):
-    p = C.table(spark, d, "part")
-    body = F.concat(F.lit("@wrap\ndef item"), "p_partkey", F.lit("(q):\n    return obj.ship"), "p_size", F.lit("(price(q))\n"), F.when(F.col("p_partkey") % 9 == 0, "def broken(:\n").otherwise(""))
-    return p.select(F.concat(F.lit("lib/p"), "p_partkey", F.lit(".py")).alias("file_path"), body.alias("text"))
+def _grammar_files(spark, d):
+    """A Python, a Go and a TypeScript file for each part; some of them broken."""
+    n = F.col("p_partkey")
+    p, broken = C.table(spark, d, "part"), n % 9 == 0
+    put = lambda *parts: F.concat(*[F.lit(x) if x[:2] != "p_" else F.col(x).cast("string") for x in parts])
+    py = F.concat(put("@wrap\ndef item", "p_partkey", "(q):\n    return obj.ship", "p_size", "(price(q))\n"), F.when(broken, "def broken(:\n").otherwise(""))
+    go = F.concat(put("package x\n\nfunc (s *S) Item", "p_partkey", "(q int) {\n\tif (q > 0) {\n\t\ts.ship", "p_size", "(price(q), \"no(\")\n\t}\n\ttype inner struct {\n\t}\n}\n"), F.when(broken, "func Open() {\n").otherwise(""))
+    ts = F.concat(put("export class Item", "p_partkey", " {\n  run(q: number): void {\n    this.ship", "p_size", "(`${price(q)} no(`);\n  }\n}\n"), F.when(broken, "f(]\n").otherwise(""))
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit("lib/p"), n, F.lit(end)).alias("file_path"), text.alias("text")) for end, text in ((".py", py), (".go", go), (".ts", ts))]))
+    return p.select(each.alias("f")).select("f.*")
 
 
-@query("X17_check", "SELECT 'lib/p'||p_partkey||'.py' AS file_path, CAST(4 AS INT) AS line, CAST(12 AS INT) AS col, 'invalid syntax' AS message FROM part WHERE p_partkey % 9 = 0")
+@query(
+    "X17_check",
+    """SELECT 'lib/p'||p_partkey||'.py' AS file_path, CAST(4 AS INT) AS line, CAST(12 AS INT) AS col, 'invalid syntax' AS message FROM part WHERE p_partkey % 9 = 0
+UNION ALL SELECT 'lib/p'||p_partkey||'.go', 11, 1, 'missing }' FROM part WHERE p_partkey % 9 = 0
+UNION ALL SELECT 'lib/p'||p_partkey||'.ts', 6, 3, ']' FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT 'lib/p'||p_partkey||'.ts', 7, 1, 'missing )' FROM part WHERE p_partkey % 9 = 0""",
+)
 def x17(spark, d):
-    return syntax.check(_python_files(spark, d))
+    return syntax.check(_grammar_files(spark, d))
 
 
-@query("X18_definitions", "SELECT 'lib/p'||p_partkey||'.py' AS file_path, CAST(0 AS INT) AS ord, 'item'||p_partkey AS name, 'function' AS kind, CAST(2 AS INT) AS match_line, CAST(1 AS INT) AS start_line, CAST(3 AS INT) AS end_line FROM part WHERE p_partkey % 9 <> 0")
+@query(
+    "X18_definitions",
+    """SELECT 'lib/p'||p_partkey||'.py' AS file_path, 'item'||p_partkey AS name, 'function' AS kind, CAST(2 AS INT) AS match_line, CAST(1 AS INT) AS start_line, CAST(3 AS INT) AS end_line, CAST(0 AS BIGINT) AS start_byte, CAST(strlen('@wrap'||chr(10)||'def item'||p_partkey||'(q):'||chr(10)||'    return obj.ship'||p_size||'(price(q))') AS BIGINT) AS end_byte FROM part WHERE p_partkey % 9 <> 0
+UNION ALL SELECT 'lib/p'||p_partkey||'.go', 'Item'||p_partkey, 'function', 3, 3, 9, 11, 11 + strlen('func (s *S) Item'||p_partkey||'(q int) {|_if (q > 0) {|__s.ship'||p_size||'(price(q), "no(")|_}|_type inner struct {|_}|}') FROM part
+UNION ALL SELECT 'lib/p'||p_partkey||'.go', 'inner', 'type', 7, 7, 8, 11 + strlen('func (s *S) Item'||p_partkey||'(q int) {|_if (q > 0) {|__s.ship'||p_size||'(price(q), "no(")|_}|_type '), 11 + strlen('func (s *S) Item'||p_partkey||'(q int) {|_if (q > 0) {|__s.ship'||p_size||'(price(q), "no(")|_}|_type inner struct {|_}') FROM part
+UNION ALL SELECT 'lib/p'||p_partkey||'.go', 'Open', 'function', 10, 10, 10, 11 + strlen('func (s *S) Item'||p_partkey||'(q int) {|_if (q > 0) {|__s.ship'||p_size||'(price(q), "no(")|_}|_type inner struct {|_}|}|'), 11 + strlen('func (s *S) Item'||p_partkey||'(q int) {|_if (q > 0) {|__s.ship'||p_size||'(price(q), "no(")|_}|_type inner struct {|_}|}|func Open() {') FROM part WHERE p_partkey % 9 = 0
+UNION ALL SELECT 'lib/p'||p_partkey||'.ts', 'Item'||p_partkey, 'class', 1, 1, 5, 7, strlen('export class Item'||p_partkey||' {|  run(q: number): void {|    this.ship'||p_size||'(`${price(q)} no(`);|  }|}') FROM part""",
+)
 def x18(spark, d):
-    return syntax.definitions(_python_files(spark, d))
+    return syntax.definitions(_grammar_files(spark, d)).drop("ord")
 
 
-@query("X19_calls", "SELECT 'lib/p'||p_partkey||'.py' AS file_path, 'ship'||p_size AS callee_name, CAST(3 AS INT) AS line, CAST(16 AS INT) AS col FROM part WHERE p_partkey % 9 <> 0 UNION ALL SELECT 'lib/p'||p_partkey||'.py', 'price', 3, CAST(21 + strlen(CAST(p_size AS VARCHAR)) AS INT) FROM part WHERE p_partkey % 9 <> 0")
+@query(
+    "X19_calls",
+    """SELECT 'lib/p'||p_partkey||'.py' AS file_path, 'ship'||p_size AS callee_name, CAST(3 AS INT) AS line, CAST(16 AS INT) AS col FROM part WHERE p_partkey % 9 <> 0 UNION ALL SELECT 'lib/p'||p_partkey||'.py', 'price', 3, CAST(21 + strlen(CAST(p_size AS VARCHAR)) AS INT) FROM part WHERE p_partkey % 9 <> 0
+UNION ALL SELECT 'lib/p'||p_partkey||'.go', 'ship'||p_size, 5, 5 FROM part UNION ALL SELECT 'lib/p'||p_partkey||'.go', 'price', 5, CAST(10 + strlen(CAST(p_size AS VARCHAR)) AS INT) FROM part
+UNION ALL SELECT 'lib/p'||p_partkey||'.ts', 'ship'||p_size, 3, 10 FROM part UNION ALL SELECT 'lib/p'||p_partkey||'.ts', 'price', 3, CAST(18 + strlen(CAST(p_size AS VARCHAR)) AS INT) FROM part UNION ALL SELECT 'lib/p'||p_partkey||'.ts', 'f', 6, 1 FROM part WHERE p_partkey % 9 = 0""",
+)
 def x19(spark, d):
-    return syntax.calls(_python_files(spark, d))
+    return syntax.calls(_grammar_files(spark, d))
+
+
+@query(
+    "X18_refined_symbols",
+    "SELECT 'lib/p'||p_partkey||'.go' AS file_path, CASE k WHEN 0 THEN 'Item'||p_partkey WHEN 1 THEN 'inner' ELSE 'Open' END AS name, CAST([3, 7, 10][k + 1] AS INT) AS start_line, CAST([9, 8, 10][k + 1] AS INT) AS end_line FROM part, (VALUES (0), (1), (2)) v(k) WHERE k < 2 OR p_partkey % 9 = 0",
+)
+def x18r(spark, d):
+    """Symbols by lines with the bounds of their definitions: a nested type ends before its function does."""
+    files = _grammar_files(spark, d).where("file_path like '%.go'")
+    symbols = extract.symbols_with_ends(lines.lines(files))
+    return syntax.refined(symbols, syntax.definitions(files)).select("file_path", "name", "start_line", "end_line")
