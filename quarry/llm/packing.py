@@ -118,14 +118,21 @@ def placed_runs(spark: SparkSession, counts: dict[int, int], capacity: int) -> l
         """What the ranges left meets: documents take gaps of higher ranges."""
         yield from matched(pa.Table.from_batches(batches, SCHEMA)).to_batches()
 
+    def ranged(runs: list) -> pa.Table:
+        """The runs with the number of their range: as many sizes are in each."""
+        sizes = sorted({r[1] for r in runs})
+        part = {size: k * RANGES // len(sizes) for k, size in enumerate(sizes)}
+        return table(runs).append_column("part", pa.array([part[r[1]] for r in runs], pa.int32()))
+
     done, number, gaps = [], 0, []
     left = [(OPEN, length, 0, n, 0, 0) for length, n in sorted(counts.items())]
     while left:
         placed, left, fresh, n = opened(left, gaps, capacity, number)
         done, number = done + placed, number + n
-        ranges = F.floor((F.col("size") - 1) * RANGES / capacity)
-        swept = spark.createDataFrame(table(left + gaps + fresh)).groupBy(ranges).applyInArrow(matched, RUN)
-        rows = [tuple(r) for r in swept.repartition(1).mapInArrow(across, RUN).collect()] if left else []
+        rows = []
+        if left:
+            swept = spark.createDataFrame(ranged(left + gaps + fresh)).groupBy("part").applyInArrow(matched, RUN)
+            rows = [tuple(r) for r in swept.repartition(1).mapInArrow(across, RUN).collect()]
         left, gaps, placed = ([r for r in rows if r[0] == kind] for kind in (OPEN, GAP, PLACED))
         done += placed
     return done
