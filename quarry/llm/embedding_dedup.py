@@ -26,6 +26,8 @@ from quarry.llm.common import NO_ID, beside, column, components, cut, follow, fo
 SLACK = 1e-6
 #: Vectors in a block, vectors that a cell's net is chosen from, points of a net, and vectors that a task deals to them.
 BLOCK, SAMPLE, FAN, DEALT = 2048, 256, 48, 20_000
+#: Partners that a block's tree meets in one go, about.
+GROUP = 32
 
 
 class CoverTree:
@@ -306,31 +308,36 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     dealt = beside(cells, cut(parts), "cell", F.xxhash64("node")).withColumn("part", F.pmod(F.col("node"), F.col("parts")))
     blocks = cut(dealt.select("node", "w", "v", named("cell", "part").alias("block")).groupBy("block").applyInArrow(planted, "block string, blob binary"))
-    trees = lambda side: blocks.select(F.col("block").alias(side), F.col("blob").alias(f"t{side}"))
-    meet = pairs.join(trees("a"), "a").join(trees("b"), "b").select("a", "b", "ta", F.when(F.col("a") != F.col("b"), F.col("tb")).alias("tb"))
-    meet = meet.repartition(partitions(spark), "a", "b").sortWithinPartitions("a", "b")
+    # a block's tree goes once to each group of at most about GROUP of its partners, these follow it
+    partners = cut(pairs.where("a < b"))
+    groups = partners.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    grouped = partners.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")))
+    first = blocks.join(groups, blocks.block == groups.a, "left").select("block", "blob", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("groups", F.lit(1)) - 1)).alias("g"))
+    later = grouped.join(blocks, grouped.b == blocks.block).select("a", "g", F.lit(1).alias("nth"), "blob")
+    meet = first.select(F.col("block").alias("a"), "g", F.lit(0).alias("nth"), "blob").unionByName(later)
+    meet = meet.repartition(partitions(spark), "a", "g").sortWithinPartitions("a", "g", "nth")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, left = None, None
+        tree = node = w = None
         for b in batches:
-            for k in range(b.num_rows):
-                if b.column("a")[k].as_py() != name:
-                    name, left = b.column("a")[k].as_py(), _unpack(b.column("ta")[k].as_py())
-                tree, node, w = left
-                if b.column("tb")[k].as_py() is None:
+            for g, nth, blob in zip(b.column("g").to_pylist(), b.column("nth").to_pylist(), b.column("blob")):
+                if nth == 0:
+                    tree, node, w = _unpack(blob.as_py())
+                    if g:  # the block's own pairs belong to its first group
+                        continue
                     na, nb, edges = dual(tree, tree, w, w, cosine, True)
                     names, links = node, na + nb
                     edges = node[edges]
                 else:
-                    other, you, v = _unpack(b.column("tb")[k].as_py())
+                    other, you, v = _unpack(blob.as_py())
                     na, nb, edges = dual(tree, other, w, v, cosine, False)
                     names, links = np.append(node, you), np.append(na, nb)
                     edges = np.column_stack([node[edges[:, 0]], you[edges[:, 1]]])
                 found = forest(edges)
                 some = links > 0
-                first = np.append(names[some], found[:, 0])
-                second = pa.array([None] * int(some.sum()) + found[:, 1].tolist(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(first), second, pa.array(np.append(links[some], np.zeros(len(found), np.int64)))], names=["a", "b", "n"])
+                left = np.append(names[some], found[:, 0])
+                right = pa.array([None] * int(some.sum()) + found[:, 1].tolist(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(left), right, pa.array(np.append(links[some], np.zeros(len(found), np.int64)))], names=["a", "b", "n"])
 
     found = cut(meet.mapInArrow(tidy(walk), "a long, b long, n long"))
     roots = components(found.where("b is not null").select("a", "b"))

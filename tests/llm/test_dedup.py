@@ -242,6 +242,7 @@ def test_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     monkeypatch.setattr(embedding_dedup, "FAN", 3)
     monkeypatch.setattr(embedding_dedup, "DEALT", 40)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 2)
     rng = np.random.default_rng(8)
     rows = []
     for label in range(3):
