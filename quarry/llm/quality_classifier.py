@@ -32,7 +32,7 @@ CUTS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.
 N_SURFACE = 11
 #: Documents' worth of the pooled distribution that is added to each class.
 PRIOR = 4.0
-#: Ridge of the calibrations, which weigh a view's features.
+#: Ridge of the calibrations, which weigh a view's features; few rows leave the weights near those of naive Bayes.
 RIDGE = 0.005
 
 
@@ -221,13 +221,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             """Models of both views, their calibrations, and where they are sure."""
             models = TEXT.model(counts[: TEXT.size]), META.model(counts[TEXT.size :])
             raw = TEXT.odds(models[0], *text), META.odds(models[1], *meta)
-            scale = [logistic(r, y, weight, RIDGE) for r in raw]
+            scale = [logistic(r, y, weight, RIDGE, least=2.0, prior=1.0) for r in raw]
             return models, scale, [sure(proba(s, r), y, weight) for s, r in zip(scale, raw)]
 
         state = fitted(_tally(rows, edges, None, split))
         for _ in range(rounds):
             state = fitted(_tally(rows, edges, state, split))
-        final = logistic(np.column_stack([_logit(p) for p in _probabilities(state, text, meta)]), y, weight)
+        final = logistic(np.column_stack([_logit(p) for p in _probabilities(state, text, meta)]), y, weight, least=2.0, prior=0.5)
     else:
         state, final = None, np.array([0.0, 0.0, -30.0 if classes == {0} else 30.0])
 

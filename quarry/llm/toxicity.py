@@ -157,22 +157,26 @@ def features(text: str, matches: _Matches, weights: list[float]) -> np.ndarray:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, shortened until the loss falls; the last coefficient is the intercept."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 60, least: float = 0.0, prior: float = 0.0) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, shortened until the loss falls; the last coefficient is the intercept.
+
+    The ridge, of at least `least`, draws the other coefficients to `prior`.
+    """
     x = np.column_stack([x, np.ones(len(x))])
     weight = np.ones(len(x)) if weight is None else weight
     b = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * max(1.0, weight.sum()))
+    penalty = np.full(x.shape[1], max(least, ridge * max(1.0, weight.sum())))
     penalty[-1] = 1e-6
+    middle = np.append(np.full(x.shape[1] - 1, prior), 0.0)
 
     def loss(b: np.ndarray) -> float:
         z = x @ b
-        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * b * b).sum() / 2)
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * (b - middle) ** 2).sum() / 2)
 
     now = loss(b)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + penalty * b
+        grad = x.T @ (weight * (p - y)) + penalty * (b - middle)
         step = np.linalg.solve((x.T * (weight * p * (1 - p) + 1e-9)) @ x + np.diag(penalty), grad)
         while (new := loss(b - step)) > now and np.abs(step).max() > 1e-8:
             step /= 2
