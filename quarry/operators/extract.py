@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,12 +16,18 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$", "")
 
 
+def _literals(pattern: str) -> list[str]:
+    """Words that a line must hold to match the pattern; looking for them costs less than matching."""
+    return re.findall(r"[a-z]{3,}", re.sub(r"\(\?:[^)]*\)\?", "", pattern))
+
+
 def _definition(text: Column, ext: Column) -> Column:
     """(kind, name) of the first pattern of the language that matches."""
     out = None
     for pack, some in P.BY_EXTENSION:
         for kind, pattern in pack:
-            hit = ext.isin(*some) & text.rlike(pattern)
+            held = reduce(lambda a, b: a & b, [F.contains(text, F.lit(w)) for w in _literals(pattern)])
+            hit = ext.isin(*some) & held & text.rlike(pattern)
             value = F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 1).alias("name"))
             out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
@@ -33,7 +40,7 @@ def supported(path: Column) -> Column:
 def marked_lines(lines: DataFrame) -> DataFrame:
     """lines with comment (text after //, else null) and def (kind, name, else null)."""
     bare = _trimmed(F.col("text"))
-    note = F.when(F.startswith(bare, F.lit("//")), _trimmed(F.substring(bare, F.lit(3), F.length(bare))))
+    note = F.when(F.contains("text", F.lit("//")), F.when(F.startswith(bare, F.lit("//")), _trimmed(F.substring(bare, F.lit(3), F.length(bare)))))
     return lines.where(supported(F.col("file_path"))).withColumn("comment", note).withColumn("def", F.when(F.col("comment").isNull(), _definition(F.col("text"), extension(F.col("file_path")))))
 
 

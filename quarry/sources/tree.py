@@ -30,11 +30,27 @@ def _entries(base: str, folder: str) -> tuple[list[tuple[str, int, int]], list[s
                 if e.name not in SKIPPED_DIRS:
                     folders.append(path)
             elif e.is_file():
-                s = e.stat()
+                try:
+                    s = e.stat()
+                except FileNotFoundError:  # it has gone meanwhile
+                    continue
                 files.append((path, s.st_mtime_ns, s.st_size))
     return files, folders
 
 
+def listing(root: str) -> dict[str, tuple[int, int]]:
+    """(mtime_ns, size) of all files below root but those in default directories; read by one machine."""
+    base, out, todo = os.path.realpath(root), {}, [""]
+    while todo:
+        try:
+            files, below = _entries(base, todo.pop())
+        except FileNotFoundError:  # it has gone meanwhile
+            continue
+        out |= {p: (m, s) for p, m, s in files}
+        todo += below
+    return out
+
+
 def walked(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime_ns, size) of all files below root but those in default directories, hidden files too.
 

@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from quarry.index import CodeIndex, NoCallers, UnknownSymbol, as_json
 from quarry.operators import extract, ignore, lines, relate, search
 from quarry.operators.store import Conflict, NoIndex
 from quarry.sources import tree
+from quarry.sources.watch import TreeChanges, changes
 from quarry.streaming import feed
 
 GO = """package pay
@@ -254,6 +256,29 @@ def test_stream_keeps_the_index(spark, root, tmp_path):
     assert set(names(index.symbols)) == {"Now", "Ledger", "ProcessPayment", "Outer", "body"}
 
 
+def test_tree_changes_stream(spark, root, tmp_path_factory):
+    spark.dataSource.register(TreeChanges)
+    events = spark.readStream.format("quarry_tree").option("root", str(root)).load()
+    got = []
+    q = events.writeStream.trigger(processingTime="300 milliseconds").option("checkpointLocation", str(tmp_path_factory.mktemp("cp"))).foreachBatch(lambda df, _: got.extend((r.path, r.op) for r in df.collect())).start()
+
+    def until(n):
+        end = time.monotonic() + 60
+        while len(got) < n and time.monotonic() < end:
+            time.sleep(0.2)
+
+    until(1)
+    (root / "src/pay.go").write_text("func Now() {}\n")
+    (root / "vendor/y.go").write_text("x")
+    until(2)
+    os.remove(root / "lib/job.py")
+    (root / "new.go").write_text("x")
+    until(4)
+    q.stop()
+    assert got[:2] == [("", "error"), ("src/pay.go", "write")] and sorted(got[2:]) == [("lib/job.py", "remove"), ("new.go", "create")]
+    assert changes({"a": (1, 1), "b": (1, 1), "c": (1, 1)}, {"a": (1, 1), "b": (2, 1), "d": (1, 1)}) == [("b", "write"), ("c", "remove"), ("d", "create")]
+
+
 def test_root_and_paths(root):
     assert tree.find_root(str(root / "src")) == str(root)
     assert tree.safe_path(str(root), "src/pay.go").endswith("pay.go") == tree.safe_path(str(root), "/../src/pay.go").endswith("pay.go")
