@@ -17,18 +17,28 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 #: Rows up to which a table is broadcast or kept in one partition; beyond, joins are salted.
 FEW, SALTS = 10_000, 64
+#: Bits of Spark's estimate of a table's size in bytes, beyond which it tells nothing.
+ESTIMATE_BITS = 62
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df with a reliable checkpoint in the cluster's shared folder.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset and one machine
-    does all the work (tests) a temporary one is made.
+    does all the work (tests) a temporary one is made. A checkpoint keeps Spark's estimate of the
+    size, and a join's is the product of both sides: in a loop its digits double with each round,
+    until the driver is busy with them alone. One that passes any real size is dropped.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_folder(spark))
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
+        return out
+    bare = spark._jsparkSession.internalCreateDataFrame(plan.rdd(), out._jdf.schema(), False)
+    return DataFrame(bare, spark)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import common, simhash, windows
 from quarry.llm.embedding_dedup import near_vectors
@@ -168,6 +169,16 @@ def test_forest_and_components(spark):
         assert all(tree.get(k, k) == want[k] for k in range(n))
 
 
+def test_estimates_stay_small_over_rounds(spark):
+    """Each round joins what the last one left; the estimate's digits used to double each time."""
+    now = spark.range(100).selectExpr("id", "id % 7 as k")
+    for _ in range(5):
+        one = common.cut(now.groupBy("k").count().drop("count"))
+        now = common.cut(now.join(F.broadcast(one), "k").select("id", "k"))
+        assert now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+    assert sorted(map(tuple, now.select("id", "k").collect())) == [(i, i % 7) for i in range(100)]
+
+
 def fp_groups(rows, bits=3):
     fp = [fingerprint((t or "").encode()) for _, t in rows]
     pairs = [(i, j) for i in range(len(fp)) for j in range(i) if bin(fp[i] ^ fp[j]).count("1") <= bits]
