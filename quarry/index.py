@@ -49,13 +49,15 @@ class CodeIndex:
         grammar or tokens, so that symbols may nest and declarations are no calls.
         """
         every = lines.lines(files)
-        found = extract.symbols_with_ends(every)
         if self.indexer == "regex":
-            unset = {c: F.lit(None).cast("long") for c in ("start_byte", "end_byte")}
-            return found.withColumns(unset), extract.enclosed_calls(every)
-        symbols = syntax.refined(found, syntax.definitions(files))
+            return self._by_lines(extract.held_lines(every))
+        symbols = syntax.refined(extract.symbols_with_ends(every), syntax.definitions(files))
         return symbols, relate.enclose(syntax.calls(files), symbols)
 
+    def _by_lines(self, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        unset = {c: F.lit(None).cast("long") for c in ("start_byte", "end_byte")}
+        return extract.symbols_of(held).withColumns(unset), extract.calls_of(held)
+
     def _meta(self, **more: str) -> dict[str, str]:
         now = datetime.datetime.now(datetime.timezone.utc)
         return {"indexer": self.indexer, "last_sync_at": now.strftime("%Y-%m-%dT%H:%M:%SZ")} | more
@@ -64,14 +66,21 @@ class CodeIndex:
         """Index files (path, mtime_ns, size, text) and remove gone (path), as one version.
 
         A file without symbols counts too. The files are read once, so that all tables agree
-        even if the tree changes meanwhile.
+        even if the tree changes meanwhile, and by lines their lines are told apart once.
         """
         held = files.where(extract.supported(F.col("path"))).persist()
+        source, kept = held.select(F.col("path").alias("file_path"), "text"), None
         try:
-            symbols, calls = self.extracted(held.select(F.col("path").alias("file_path"), "text"))
-            return self.store.apply(held.select("path", "mtime_ns", "size"), symbols, calls, gone, **self._meta(**meta))
+            if self.indexer == "regex":
+                kept = extract.held_lines(lines.lines(source)).persist()
+                symbols, calls = self._by_lines(kept)
+            else:
+                symbols, calls = self.extracted(source)
+            return self.store.apply(held.select("path", "mtime_ns", "size"), symbols, calls, gone, unlike=True, **self._meta(**meta))
         finally:
             held.unpersist()
+            if kept is not None:
+                kept.unpersist()
 
     sync = apply
 

@@ -313,3 +313,16 @@ def test_stream_debounces(spark, tmp_path):
     q = feed.stream(events, lambda df, _: got.extend((r.path, r.action, r.n_events) for r in df.collect()), f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert sorted(got) == [("a", "remove", 3), ("a", "sync", 1), ("b", "sync", 1)]
+
+
+def test_a_build_tells_lines_apart_once(spark, tmp_path, monkeypatch):
+    calls, own = [], extract.annotated
+    monkeypatch.setattr(extract, "annotated", lambda df: calls.append(1) or own(df))
+    text = "// a note of a b a\nfunc Some(q int) {\n\tcall(q)\n}\n// " + "w x " * 60 + "\nfunc Long() {}\n"
+    index = CodeIndex(spark, str(tmp_path / "once"))
+    index.apply(frame(spark, ("p/a.go", text)).select(F.col("file_path").alias("path"), F.lit(0).alias("mtime_ns"), F.lit(1).alias("size"), "text"))
+    assert len(calls) == 1
+    want = {tuple(r) for r in search.postings(index.symbols).selectExpr("token", "name", "col", "cast(positions as string)", "dl").collect()}
+    got = [tuple(r) for r in index.store.read("postings").selectExpr("token", "name", "col", "cast(positions as string)", "dl").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sorted(r[0] for r in index.call_sites.select("callee_name").collect()) == ["Long", "Some", "call"]
